@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import ecoc, quality
+from terrane.llm import chosenpath, ecoc, quality
 from terrane.llm.common import held_out, table
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages, weights = ecoc.train(docs)
@@ -22,5 +26,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op6_ngram_jaccard_join, op7_language_id, op10_quality)}
 ORACLES: dict[str, str] = {}
