@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import chosenpath, ecoc, quality
+from terrane.llm import chosenpath, ecoc, mixing, quality
 from terrane.llm.common import held_out, table
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.copies(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,5 +31,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard_join, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op6_ngram_jaccard_join, op7_language_id, op10_quality)}
 ORACLES: dict[str, str] = {}
