@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import chosenpath, ecoc, mixing, quality
+from terrane.llm import chosenpath, ecoc, mixing, pii, quality, spm
 from terrane.llm.common import held_out, table
 
 
@@ -14,6 +14,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(table(spark, sf_dir, "documents"), spm.model_bytes(), keep=["doc_id"])
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,11 +29,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, weights, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op6_ngram_jaccard_join, op7_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_sentencepiece, op6_ngram_jaccard_join, op7_language_id, op9_personal_data, op10_quality)}
 ORACLES: dict[str, str] = {}
