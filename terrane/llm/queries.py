@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import chat, chosenpath, ecoc, mixing, pii, quality, spm, urlfilter
+from terrane.llm import additive, chat, chosenpath, covertree, ecoc, mixing, pii, quality, spm, urlfilter
 from terrane.llm.common import held_out, table
 
 
@@ -22,6 +22,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), spm.model_bytes(), keep=["doc_id"])
 
 
+def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights, keep=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_sentencepiece, op6_ngram_jaccard_join, op7_language_id, op8_chat_format, op9_personal_data, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_url_filter,
+        op3_sentencepiece,
+        op4_additive_search,
+        op5_embedding_near_dedup,
+        op6_ngram_jaccard_join,
+        op7_language_id,
+        op8_chat_format,
+        op9_personal_data,
+        op10_quality,
+    )
+}
 ORACLES: dict[str, str] = {
     "op2_url_filter": urlfilter.ORACLE,
     "op8_chat_format": r"""
