@@ -7,9 +7,9 @@ similarity of their sets is at least ``threshold``.
 1. Equal texts form a class (128 bits of hash), which is handled once.
 2. Each class's set is embedded as ``SKETCH`` MinHash tokens, of which a pair shares the share given by its similarity.
 3. Each run splits all sets on the value of a sampled token, and goes on splitting every bucket of more than ``leaf`` sets on
-   ``BRANCH`` sampled tokens, up to ``DEPTH`` times. ``runs`` follows from the target recall (see ``runs_for``).
-4. Small buckets are brute-forced on sketches; those still large at the last level are brute-forced too, cut into blocks of
-   bounded size that are paired with each other. A pair passes when its sketches agree in more than ``LOOSE`` of the tokens, which a
+   ``BRANCH`` sampled tokens, up to ``DEPTH`` times. The number of runs follows from the target recall (see ``runs_for``).
+4. Small buckets are brute-forced on sketches. So are large ones of sets so much alike that a split leaves ``TIGHT`` of them together, and
+   those still large at the last level; they are cut into blocks of bounded size that are paired with each other. A pair passes when its sketches agree in more than ``LOOSE`` of the tokens, which a
    pair at the threshold misses about once in a million. Of the passing pairs a bucket yields a spanning forest only.
 5. Connected classes form candidate groups. Their shingle sets are gathered once, in blocks of bounded size, and every pair of
    a group is verified exactly. Blocks yield counts of links and spanning forests, never pairs.
@@ -44,6 +44,7 @@ LEAF = 128
 BRANCH = 2
 DEPTH = 4
 BLOCK = 512
+TIGHT = 0.5
 LOOSE = 0.55
 _A = tv.rand64(37, SKETCH) | np.uint64(1)
 _B = tv.rand64(41, SKETCH)
@@ -143,12 +144,16 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
         leaves.append(live if last else live.where(F.col("n") <= LEAF))
         if last:
             break
-        big = live.where(F.col("n") > LEAF).select("cid", "path")
+        big = live.where(F.col("n") > LEAF)
         if big.isEmpty():
             break
-        pick = F.array(*[F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(SKETCH)).cast("int") for b in range(BRANCH)])
-        live = big.join(classes.select("cid", "sketch"), "cid").withColumn("c", F.explode(F.array_distinct(pick)))
-        live = live.select("cid", F.xxhash64("path", "c", token(F.col("c"))).alias("path")).distinct()
+        pick = F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(b), "path"), F.lit(SKETCH)).cast("int") for b in range(BRANCH)]))
+        split = big.join(classes.select("cid", "sketch"), "cid").withColumn("c", F.explode(pick))
+        split = materialise(split.select("cid", "path", "n", "c", F.xxhash64("path", "c", token(F.col("c"))).alias("next")), f"split{level}")
+        shares = split.groupBy("path", "c", "next").agg(F.count("*").alias("k"), F.max("n").alias("n")).groupBy("path", "c").agg((F.max("k") / F.max("n")).alias("share"))
+        shares = materialise(shares.groupBy("path").agg((F.min("share") >= TIGHT).alias("tight")), "shares")
+        leaves.append(big.join(shares.where("tight"), "path", "left_semi"))
+        live = split.join(shares.where("NOT tight"), "path", "left_semi").select("cid", F.col("next").alias("path"))
     met = leaves[0]
     for x in leaves[1:]:
         met = met.unionByName(x)
@@ -254,7 +259,7 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     # One document stands for each class: the text with the class's keys and least id.
     same = ["k1", "k2", "id", "none"]
     key = lambda df: df.withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("none", F.col("doc_id").isNull()).drop("doc_id")
-    found = key(source).join(key(groups), same).select("path", "n", "cid", "copies", "text")
+    found = key(source).join(key(groups).hint("merge"), same).select("path", "n", "cid", "copies", "text")
     sets = lambda raw, at: [pa.array([s.tobytes() for s in shingle_sets(raw, at, width)], pa.binary())]
     sets = map_texts(found, "text", [T.StructField("sh", T.BinaryType())], sets, keep=["path", "n", "cid", "copies"])
     links = materialise(verified(in_blocks(sets, "path", "n", "cid", BLOCK), threshold), "links")
