@@ -53,7 +53,7 @@ running AS (SELECT *, sum(area) OVER (PARTITION BY {by} ORDER BY p DESC, unit_id
 
 
 @q(f"""WITH {UNITS}, {PREFIX.format(by='region')}
-SELECT region, sum(label) AS positives, sum(CASE WHEN cum <= 0.2 * total THEN label ELSE 0 END) AS captured, count(*) FILTER (cum <= 0.2 * total) AS n_units,
+SELECT region, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN cum <= 0.2 * total THEN label ELSE 0 END) AS BIGINT) AS captured, count(*) FILTER (cum <= 0.2 * total) AS n_units,
   coalesce(sum(area) FILTER (cum <= 0.2 * total), 0) AS area_used, sum(CASE WHEN cum <= 0.2 * total THEN label ELSE 0 END)::DOUBLE / sum(label) AS coverage FROM running GROUP BY region""")
 def coverage20_prefix(spark, d):
     return S.coverage_prefix(units(spark, d), ["region"])
@@ -72,7 +72,7 @@ def coverage_two_budgets(spark, d):
 
 
 @q(f"""WITH {UNITS}, {PREFIX.format(by='region')}
-SELECT region, s.share, sum(label) AS positives, sum(CASE WHEN cum - area < s.share * total THEN label ELSE 0 END) AS captured,
+SELECT region, s.share, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN cum - area < s.share * total THEN label ELSE 0 END) AS BIGINT) AS captured,
   sum(CASE WHEN cum - area < s.share * total THEN label ELSE 0 END)::DOUBLE / sum(label) AS capture
 FROM running, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) s(share) GROUP BY region, s.share""")
 def capture_inclusive(spark, d):
@@ -89,7 +89,7 @@ def area_at_recall_ties(spark, d):
 
 
 @q(f"""WITH {UNITS}, r AS (SELECT *, row_number() OVER (PARTITION BY county ORDER BY p DESC, unit_id) AS rn, count(*) OVER (PARTITION BY county) AS n FROM units)
-SELECT county, sum(label) AS positives, sum(CASE WHEN rn <= greatest(1, round_even(0.1::DOUBLE * n, 0)) THEN label ELSE 0 END) AS captured,
+SELECT county, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN rn <= greatest(1, round_even(0.1::DOUBLE * n, 0)) THEN label ELSE 0 END) AS BIGINT) AS captured,
   sum(CASE WHEN rn <= greatest(1, round_even(0.1::DOUBLE * n, 0)) THEN label ELSE 0 END)::DOUBLE / nullif(sum(label), 0) AS recall FROM r GROUP BY county""")
 def recall_at_top10(spark, d):
     return S.recall_at_top(units(spark, d), ["county"])
@@ -104,7 +104,7 @@ def grade_confusion_ba(spark, d):
 
 
 @q(f"""WITH {UNITS}, g AS (SELECT *, {LEVEL} AS level FROM units),
-c AS (SELECT county, grouping(county) AS whole, sum(label) AS positives, sum(CASE WHEN level >= 4 THEN label ELSE 0 END) AS high_positives, sum(area) AS area, sum(CASE WHEN level >= 4 THEN area ELSE 0 END) AS high_area FROM g GROUP BY ROLLUP (county))
+c AS (SELECT county, grouping(county) AS whole, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(CASE WHEN level >= 4 THEN label ELSE 0 END) AS BIGINT) AS high_positives, sum(area) AS area, sum(CASE WHEN level >= 4 THEN area ELSE 0 END) AS high_area FROM g GROUP BY ROLLUP (county))
 SELECT county, CAST(whole AS INTEGER) AS whole, positives, high_positives, area, high_area, high_positives::DOUBLE / nullif(positives, 0) AS recall, high_area / nullif(area, 0) AS area_share,
   round((high_positives::DOUBLE / nullif(positives, 0)) / nullif(high_area / nullif(area, 0), 0), 9) AS enrichment FROM c""")
 def region_enrichment_rollup(spark, d):
@@ -116,7 +116,7 @@ def region_enrichment_rollup(spark, d):
 
 
 @q(f"""WITH {UNITS}, g AS (SELECT *, {LEVEL} AS level FROM units)
-SELECT level, count(*) AS n, sum(area) AS area, sum(label) AS positives, round(sum(area) / sum(sum(area)) OVER (), 9) AS area_share, round(sum(label)::DOUBLE / sum(sum(label)) OVER (), 9) AS positive_share,
+SELECT level, count(*) AS n, sum(area) AS area, CAST(sum(label) AS BIGINT) AS positives, round(sum(area) / sum(sum(area)) OVER (), 9) AS area_share, round(sum(label)::DOUBLE / sum(sum(label)) OVER (), 9) AS positive_share,
   min(p) AS low, max(p) AS high FROM g GROUP BY level""")
 def grade_statistics(spark, d):
     g = S.graded(units(spark, d), CUTS).groupBy("level").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum("label").alias("positives"), F.min("p").alias("low"), F.max("p").alias("high"))
@@ -258,7 +258,7 @@ def prior_corrected_scores(spark, d):
 
 @q(f"""WITH {UNITS}, {AUC_BY.format(by='region', rows='units')}, {AP_BY}, {PREFIX.format(by='region')},
 {'bags AS (SELECT l_orderkey AS unit_id, count(*) AS lines, sum(CAST(l_quantity AS DOUBLE)) AS weight FROM lineitem GROUP BY 1)'},
-c AS (SELECT r.region, count(*) AS n, sum(label) AS positives, sum(area) AS area, sum(coalesce(lines, 0)) AS lines, sum(coalesce(weight, 0)) AS weight, sum(CASE WHEN cum <= 0.2 * total THEN label ELSE 0 END)::DOUBLE / nullif(sum(label), 0) AS coverage20 FROM running r LEFT JOIN bags USING (unit_id) GROUP BY 1)
+c AS (SELECT r.region, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, sum(area) AS area, sum(coalesce(lines, 0)) AS lines, sum(coalesce(weight, 0)) AS weight, sum(CASE WHEN cum <= 0.2 * total THEN label ELSE 0 END)::DOUBLE / nullif(sum(label), 0) AS coverage20 FROM running r LEFT JOIN bags USING (unit_id) GROUP BY 1)
 SELECT c.region, n, positives, area, CAST(lines AS BIGINT) AS lines, weight, round(coverage20, 9) AS coverage20, round(auc, 9) AS auc, round(ap, 9) AS ap FROM c JOIN aucs USING (region) JOIN aps USING (region)""")
 def flagship_region_report(spark, d):
     """Units with their child records' weight, ranked by score: AUC, average precision and coverage of a 20 % area budget by region."""
