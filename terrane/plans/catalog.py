@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terrane.plans import scores, times
+from terrane.plans import bagplans, scores, times
 from terrane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (scores, times):
+for module in (bagplans, scores, times):
     QUERIES |= module.C.queries
     ORACLES |= module.C.oracles
