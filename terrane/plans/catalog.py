@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terrane.plans import bagplans, samples, scores, times
+from terrane.plans import bagplans, samples, scores, spaces, times
 from terrane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (bagplans, samples, scores, times):
+for module in (bagplans, samples, scores, spaces, times):
     QUERIES |= module.C.queries
     ORACLES |= module.C.oracles
