@@ -94,10 +94,10 @@ def context_quintile_bins(spark, d):
 
 @q(f"""WITH {UNITS}, s AS (SELECT region, CAST(floor(area / 50) AS BIGINT) AS bin, label FROM units), labels AS (SELECT DISTINCT bin FROM s UNION SELECT 99), k AS (SELECT count(*) AS bins FROM labels),
 t AS (SELECT region, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM s GROUP BY 1), c AS (SELECT region, bin, count(*) AS units, CAST(sum(label) AS BIGINT) AS positives FROM s GROUP BY 1, 2),
-g AS (SELECT t.region, l.bin, n, p, bins, coalesce(units, 0) AS units, coalesce(positives, 0) AS positives FROM t, k, labels l LEFT JOIN c ON c.bin = l.bin AND c.region = t.region)
+g AS (SELECT t.region, l.bin, n, p, bins, coalesce(units, 0) AS units, coalesce(positives, 0) AS positives FROM t CROSS JOIN k CROSS JOIN labels l LEFT JOIN c ON c.bin = l.bin AND c.region = t.region)
 SELECT region, bin, units, positives, round(CASE WHEN units > 0 THEN (positives / units::DOUBLE) / (p / n::DOUBLE) END, 9) AS fr, round(CASE WHEN positives > 0 THEN ln((positives / units::DOUBLE) / (p / n::DOUBLE)) END, 9) AS iv,
   round(CASE WHEN units > 0 THEN ln(((positives + 0.5::DOUBLE) / (p + 0.5::DOUBLE * bins)) / ((units - positives + 0.5::DOUBLE) / (n - p + 0.5::DOUBLE * bins))) END, 9) AS smooth,
-  CASE WHEN units = 0 THEN 'empty' WHEN positives = 0 THEN 'no positives' ELSE 'ok' END AS status, units < 30 OR positives < 5 OR units - positives < 5 AS low_support FROM g""".replace("FROM t, k, labels l LEFT JOIN c ON c.bin = l.bin AND c.region = t.region", "FROM t CROSS JOIN k CROSS JOIN labels l LEFT JOIN c ON c.bin = l.bin AND c.region = t.region"))
+  CASE WHEN units = 0 THEN 'empty' WHEN positives = 0 THEN 'no positives' ELSE 'ok' END AS status, units < 30 OR positives < 5 OR units - positives < 5 AS low_support FROM g""")
 def information_value(spark, d):
     s = units(spark, d).select("region", F.floor(F.col("area") / 50).alias("bin"), "label")
     labels = s.select("bin").distinct().unionByName(spark.createDataFrame([(99,)], "bin long"))
@@ -105,7 +105,8 @@ def information_value(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("fr", "iv", "smooth")})
 
 
-RANKS = """pairs AS (SELECT l.unit_id, l.feature AS a, r.feature AS b, l.value AS x, r.value AS y FROM long l JOIN long r ON l.unit_id = r.unit_id AND l.feature < r.feature WHERE l.unit_id % 7 <> 0 OR l.feature <> 'p'),
+RANKS = """gappy AS (SELECT * FROM long WHERE unit_id % 7 <> 0 OR feature <> 'p'),
+pairs AS (SELECT l.unit_id, l.feature AS a, r.feature AS b, l.value AS x, r.value AS y FROM gappy l JOIN gappy r ON l.unit_id = r.unit_id AND l.feature < r.feature),
 ranks AS (SELECT a, b, x, y, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2::DOUBLE AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2::DOUBLE AS ry FROM pairs)"""
 
 
@@ -113,7 +114,7 @@ def gappy(spark, d):
     return long(spark, d).withColumn("value", F.when((F.col("unit_id") % 7 != 0) | (F.col("feature") != "p"), F.col("value")))
 
 
-@q(f"WITH {UNITS}, {LONG.replace('SELECT unit_id, label, fold', 'SELECT unit_id, label, fold', 1)}, {RANKS.replace(chr(34), chr(34)).replace('WHERE l.unit_id % 7 <> 0 OR l.feature <> ' + chr(39) + 'p' + chr(39), 'WHERE (l.unit_id % 7 <> 0 OR l.feature <> ' + chr(39) + 'p' + chr(39) + ') AND (r.unit_id % 7 <> 0 OR r.feature <> ' + chr(39) + 'p' + chr(39) + ')')} SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM ranks GROUP BY 1, 2")
+@q(f"WITH {UNITS}, {LONG}, {RANKS} SELECT a, b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM ranks GROUP BY 1, 2")
 def spearman_pairs(spark, d):
     return A.spearman(gappy(spark, d), "unit_id").withColumn("rho", F.round("rho", 6))
 
