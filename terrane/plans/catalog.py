@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terrane.plans import associations, bagplans, inferences, samples, scores, spaces, times
+from terrane.plans import associations, bagplans, checks, inferences, samples, scores, spaces, times
 from terrane.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (associations, bagplans, inferences, samples, scores, spaces, times):
+for module in (associations, bagplans, checks, inferences, samples, scores, spaces, times):
     QUERIES |= module.C.queries
     ORACLES |= module.C.oracles
