@@ -46,26 +46,34 @@ def best_paths(messages: DataFrame, n_best: int = 1) -> DataFrame:
     m = materialise(m.select("tree", "id", "m.*"), "messages")
     ids = m.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
     links = m.join(ids, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
-    levels = [materialise(links, "links0")]
-    while True:
-        a, b = levels[-1], levels[-1].select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
-        if len(levels) > 62 or a.where("up IS NOT NULL").isEmpty():
+    links = materialise(links, "links0")
+    # Messages whose path has reached the root are finished; each level joins those that are still on their way.
+    finished, live = [links.where("up IS NULL")], links.where("up IS NOT NULL")
+    levels = []
+    reach = m.count()
+    while not live.isEmpty():
+        if 1 << len(levels) > reach:  # longer than any path: only cycles are left
             break
-        far = a.join(b, ["tree", "up"], "left")
-        far = far.select("tree", "id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"))
+        levels.append(live)
+        known = live
+        for x in finished:
+            known = known.unionByName(x)
+        known = known.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("sum").alias("sum2"))
+        far = live.join(known, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("sum") + F.col("sum2")).alias("sum"))
         far = materialise(far, f"links{len(levels)}")
-        # Only cycles never reach a root; they stop when a round gives no new root.
-        if far.where("up IS NOT NULL").count() == a.where("up IS NOT NULL").count() and len(levels) > 1 and (1 << len(levels)) > m.count():
-            break
-        levels.append(far)
-    top = levels[-1].where("up IS NULL")
+        finished.append(far.where("up IS NULL"))
+        live = far.where("up IS NOT NULL")
+    top = finished[0]
+    for x in finished[1:]:
+        top = top.unionByName(x)
     parents = links.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = top.join(parents, ["tree", "id"], "left_anti")
     best = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("sum").desc(), "id"))).where(F.col("branch") <= n_best)
     marked = best.select("tree", F.col("id").alias("leaf"), "branch", "id", (F.col("steps") - 1).alias("at"))
-    for k in range(len(levels) - 2, -1, -1):
-        jump = levels[k].where("up IS NOT NULL").select("tree", "id", "up")
-        marked = marked.unionByName(marked.join(jump, ["tree", "id"]).select("tree", "leaf", "branch", F.col("up").alias("id"), (F.col("at") - (1 << k)).alias("at")))
+    for k in range(len(levels) - 1, -1, -1):
+        jump = levels[k].select("tree", "id", "up")
+        # Written at each step: the plan would double with every level otherwise.
+        marked = materialise(marked.unionByName(marked.join(jump, ["tree", "id"]).select("tree", "leaf", "branch", F.col("up").alias("id"), (F.col("at") - (1 << k)).alias("at"))), f"marked{k}")
     return marked.join(m.select("tree", "id", "role", "text"), ["tree", "id"]).drop("id")
 
 
