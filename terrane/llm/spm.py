@@ -6,9 +6,9 @@ ranked by score, byte fallback, and the decoder that reverses them.
 
 Where no piece holds the marker after another character (which is checked), pieces never cross the start of a
 word; then only words that a worker hasn't seen yet are encoded, in one multithreaded batch for each Arrow batch. Else whole texts are.
-Each text's ids are compared with those of the sentencepiece library. Where they differ (merges of equal score, as in
-long runs of spaces, may be taken in another order), ``parity`` is false and the ids are the original library's. The decoded text is
-compared with the text.
+What is encoded (words, or texts) is encoded by the sentencepiece library too. Where the ids differ (merges of equal score, as in
+long runs of spaces, may be taken in another order), ``parity`` is false and the ids are the original library's. It is decoded again as well, and
+``round_trip`` tells that this gives the text.
 
 Model bytes are read on the driver and broadcast (a file of fixed size); no file is needed on executors. There is no
 shuffle; a worker's memory is bounded by its batch and a cache of ``CACHE`` words.
@@ -20,6 +20,7 @@ if asked for; columns named like its results are replaced.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -31,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from terrane.llm import textvec as tv
 from terrane.llm.common import arrow_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 300_000
+CACHE = 500_000
 THREADS = 2
+_BETWEEN = np.ones(256, np.uint8)
+_BETWEEN[0x20] = 0
 # Fixed values of the public model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -112,12 +116,12 @@ def merges(m: Model) -> list[tuple[str, str]]:
     return [(m.pieces[i][0][:k], m.pieces[i][0][k:]) for _, i, k in sorted(ways)]
 
 
-def rebuild(m: Model):
-    """A tokenizers.Tokenizer of the model."""
+def rebuild(m: Model, cache: int = 10_000):
+    """A tokenizers.Tokenizer of the model; cache: words that its own cache holds."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind == BPE:
-        core = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(m.pieces)}, merges=merges(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        core = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(m.pieces)}, merges=merges(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=cache)
     else:
         core = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unknown, byte_fallback=m.byte_fallback)
     out = Tokenizer(core)
@@ -147,38 +151,168 @@ class Codec:
         self.tokenizer = rebuild(m)
         self.plain = not m.charsmap and not m.drop_extra_spaces and m.escape_spaces
         self.prefix = MARK if m.dummy_prefix else ""
-        self.words = rebuild(m)
+        self.words = rebuild(m, 0)  # every word comes once
         self.words.normalizer = None
-        self.by_word = m.escape_spaces and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-        self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.by_word = m.escape_spaces and m.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
+        self.chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
+        self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.by_hash: dict[int, bytes] = {}
+        self.older_hash: dict[int, bytes] = {}
+        self.differ_hash: set[int] = set()
+        self.lossy_hash: set[int] = set()
+        self.differ: set[str] = set()
+        self.lossy: set[str] = set()
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def normalise(self, text: str) -> str:
         """What the rebuilt normaliser gives; without a character map or spaces to drop, by plain replacement, which is faster."""
         return self.prefix + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self.chunks(self.normalise(t)) if t else [] for t in texts]
-        new = list(set().union(*parts).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*parts))
-        for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[w] = tuple(e.ids)
-        get = self.cache.__getitem__
-        return [list(itertools.chain.from_iterable(map(get, p))) for p in parts]
+    def fresh(self, words: list[str]) -> list[list[int]]:
+        """Ids of words (each after its marker), compared with the original library's, and decoded again."""
+        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        true = self.original.encode([w[1:] for w in words], num_threads=self.threads)
+        if MARK in words:  # the marker before nothing, which the original library gives only after other text
+            k = words.index(MARK)
+            true[k] = ids[k]
+        if ids != true:
+            self.differ.update(w for w, i, t in zip(words, ids, true, strict=True) if i != t)
+        # Decoding joins what the pieces stand for, so many words are decoded as one text, and looked at singly only if that isn't theirs.
+        for k in range(0, len(words), 256):
+            self._decoded(words[k : k + 256], true[k : k + 256])
+        return true
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.cache) + len(words) > CACHE:  # what was used since the last time stays for one more turn
+            self.older, self.cache = self.cache, {}
+        self.cache.update((w, self.older[w]) for w in words if w in self.older)
+        new = [w for w in words if w not in self.cache]
+        self.cache.update(zip(new, self.fresh(new), strict=True))
+
+    def _decoded(self, words: list[str], ids: list[list[int]]) -> None:
+        if self.words.decode(list(itertools.chain.from_iterable(ids)), skip_special_tokens=False) != "".join(words)[1:].replace(MARK, " "):
+            if len(words) == 1:
+                self.lossy.update(words)
+            else:
+                half = len(words) // 2
+                self._decoded(words[:half], ids[:half])
+                self._decoded(words[half:], ids[half:])
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def checked(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-        """ids, whether the original library has the same, and whether they decode to the text."""
-        ids, true = self.encode(texts), self.original.encode(texts, num_threads=self.threads)
-        same = [a == b for a, b in zip(ids, true, strict=True)]
-        return true, same, [a == b for a, b in zip(self.decode(true), texts, strict=True)]
+        """ids, whether the two libraries agree, and whether the ids decode to the text."""
+        if not self.by_word:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            true = self.original.encode(texts, num_threads=self.threads)
+            return true, [a == b for a, b in zip(ids, true, strict=True)], [a == b for a, b in zip(self.decode(true), texts, strict=True)]
+        gc.disable()  # nothing here makes cycles, and collections would walk the whole cache again and again
+        try:
+            return self._by_words(texts)
+        finally:
+            gc.enable()
+
+    def _by_words(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        whole = [self.normalise(t) if t else "" for t in texts]
+        parts = [self.chunks(t) for t in whole]
+        if new := set().union(*parts).difference(self.cache):
+            # All words of the batch are at hand while it is put together, even if the cache turns over.
+            self.learn(new if len(self.cache) + len(new) <= CACHE else set().union(*parts))
+        get = self.cache.__getitem__
+        ids = [list(itertools.chain.from_iterable(map(get, p))) for p in parts]
+        same = [self.differ.isdisjoint(p) for p in parts] if self.differ else [True] * len(texts)
+        back = [w[1:].replace(MARK, " ") == t and (not self.lossy or self.lossy.isdisjoint(p)) for w, t, p in zip(whole, texts, parts, strict=True)]
+        return ids, same, back
+
+
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of an Arrow column of texts: all ids, n + 1 offsets into them, parity and round trip.
+
+        Texts whose words stand after single spaces, without a marker of their own, are looked up by the words' hashes, all at once; the rest are encoded one by one.
+        """
+        raw, at = tv.texts(column)
+        n = len(at) - 1
+        plain = np.diff(at) > 0 if self.by_word and self.plain else np.zeros(n, bool)
+        if len(raw):
+            space = raw == 0x20
+            odd = [np.flatnonzero(space[1:] & space[:-1]), np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))]
+            for where in odd:
+                plain[np.searchsorted(at, where, "right") - 1] = False
+            some = np.flatnonzero(plain)
+            plain[some] &= ~(space[at[some]] | space[at[some + 1] - 1])
+        counts, parity, back = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
+        parts: list = [None] * n
+        slow = np.flatnonzero(~plain & (np.diff(at) > 0))
+        if len(slow):
+            data = raw.tobytes()
+            ids, same, fits = self.checked([data[at[i] : at[i + 1]].decode("utf-8", "replace") for i in slow])
+            for i, x in zip(slow, ids, strict=True):
+                parts[i] = np.array(x, np.int32)
+                counts[i] = len(x)
+            parity[slow], back[slow] = same, fits
+        gc.disable()
+        try:
+            flat, bounds = self._by_hashes(raw, at, plain, parity, back)
+        finally:
+            gc.enable()
+        counts[plain] = np.diff(bounds)
+        if len(slow):
+            for k, i in enumerate(np.flatnonzero(plain)):
+                parts[i] = flat[bounds[k] : bounds[k + 1]]
+            flat = np.concatenate([x for x in parts if x is not None]) if n else flat
+        return flat, np.concatenate([[0], np.cumsum(counts)]), parity, back
+
+    def _by_hashes(self, raw, at, plain, parity, back) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of the plain rows."""
+        start, end, first = tv.runs(raw, at, _BETWEEN)
+        number = np.repeat(np.arange(len(at) - 1), np.diff(first))
+        keep = plain[number]
+        start, end, number = start[keep], end[keep], number[keep]
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(int(plain.sum()) + 1, np.int64)
+        hashes, index, inverse = np.unique(tv.hash_runs(raw, start, end), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(self.by_hash) + len(keys) > CACHE:
+            self.older_hash, self.by_hash = self.by_hash, {}
+        known = self.by_hash
+        older = self.older_hash
+        known.update((k, older[k]) for k in keys if k in older)
+        if new := [i for i, k in enumerate(keys) if k not in known]:
+            words = [MARK + raw[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in index[new].tolist()]
+            before = len(self.differ), len(self.lossy)
+            true = self.fresh(words)
+            ends = list(itertools.accumulate(map(len, true), initial=0))
+            packed = np.fromiter(itertools.chain.from_iterable(true), np.int32, ends[-1]).tobytes()
+            known.update((keys[i], packed[4 * a : 4 * b]) for i, a, b in zip(new, ends[:-1], ends[1:], strict=True))
+            if before != (len(self.differ), len(self.lossy)):
+                self.differ_hash.update(keys[i] for i, w in zip(new, words, strict=True) if w in self.differ)
+                self.lossy_hash.update(keys[i] for i, w in zip(new, words, strict=True) if w in self.lossy)
+        packs = [known[k] for k in keys]
+        size = np.fromiter(map(len, packs), np.int64, len(packs)) // 4
+        ids = np.frombuffer(b"".join(packs), np.int32)
+        origin = np.cumsum(size) - size
+        each = size[inverse]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(origin[inverse] - (ends - each), each) + np.arange(ends[-1])]
+        for bad, flags in ((self.differ_hash, parity), (self.lossy_hash, back)):
+            if bad:
+                flags[number[np.isin(hashes, np.fromiter(bad, np.uint64, len(bad)))[inverse]]] = False
+        rows = np.flatnonzero(plain)
+        return flat, np.concatenate([[0], ends])[np.searchsorted(number, np.concatenate([rows, [len(plain)]]))]
+
+
+_CODECS: dict[tuple[bytes, int], Codec] = {}
+
+
+def codec(data: bytes, threads: int) -> Codec:
+    """The worker process's codec for a model; the last model's is kept for later tasks."""
+    key = (data, threads)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data, threads)
+    return _CODECS[key]
 
 
 def model_bytes(path: str = MODEL) -> bytes:
@@ -188,20 +322,18 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, threads: int = THREADS) -> DataFrame:
     """Columns ``keep`` of docs (all by default) with ids array<int>, n_tokens long, parity boolean and round_trip boolean."""
-    arrow_rows(docs.sparkSession, 256)
+    arrow_rows(docs.sparkSession, 1024)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ["ids", "n_tokens", "parity", "round_trip"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
 
     def run(batches):
-        codec = Codec(held.value, threads)
+        codec_ = codec(held.value, threads)
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            ids, parity, back = codec.checked([t or "" for t in texts])
-            n = np.array([len(i) for i in ids], np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum()))
-            at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
-            lists = pa.ListArray.from_arrays(at, pa.array(flat), mask=pa.array([t is None for t in texts], pa.bool_()))
+            column = b.column(len(keep))
+            flat, at, parity, back = codec_.encoded(column)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=column.is_null())
+            n = np.diff(at)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(n), pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], [*keep, *names])
 
     source = docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].alias("__text"))
@@ -216,10 +348,10 @@ def decode(tokens: DataFrame, model: bytes, ids: str = "ids", to: str = "text",
     keep = [c for c in tokens.columns if c.lower() != to.lower()]
 
     def run(batches):
-        codec = Codec(held.value, threads)
+        codec_ = codec(held.value, threads)
         for b in batches:
             lists = b.column(len(keep)).to_pylist()
-            texts = codec.decode([x or [] for x in lists])
+            texts = codec_.decode([x or [] for x in lists])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], [*keep, to])
 
     source = tokens.select(*[tokens[f"`{c}`"] for c in keep], tokens[ids].alias("__ids"))
