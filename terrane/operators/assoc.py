@@ -49,7 +49,7 @@ def pearson(long: DataFrame, unit: str, least: int = 3) -> DataFrame:
 
 def correlation(x: str, y: str, least: int) -> Column:
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (F.count("*") >= least)
-    return F.when(varies, F.corr(x, y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def standardised_difference(df: DataFrame, long_by: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import cut
+
 EARTH_KM = 6371.0088
 
 
@@ -43,28 +45,35 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return pairs.where(F.col("dist") <= radius).select("a_id", "b_id", "dist")
 
 
-def nearest(a: DataFrame, b: DataFrame, size: float, k: int = 1, max_rounds: int = 40) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, size: float, k: int = 1) -> DataFrame:
     """The k nearest of b for each row of a, of other ids, by distance and then id: (a_id, b_id, dist, rank).
 
-    Rings of cells double until the k-th found is nearer than the ring's edge, for the rows that are still open; cells are ``size`` wide.
+    A row meets the 3 x 3 cells around it. It is done when its k-th found is no farther than a cell is wide, as then nothing nearer can lie outside; for the rest cells
+    grow fourfold, until they span all points. ``size``, the first width, should hold some k points.
     """
-    open_, out, rings = a, None, 1
-    n_b = b.select("id").distinct().count()
-    for _ in range(max_rounds):
-        width = size * rings
+    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()
+    span = ends.span or 0.0
+    open_, parts, width = a.select("id", "x", "y"), [], size
+    while True:
         left = around(open_, width).select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
         right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x", width).alias("cx"), cell("y", width).alias("cy"))
         pairs = left.join(right, ["cx", "cy"]).where("a_id <> b_id").withColumn("dist", distance("ax", "ay", "bx", "by"))
         w = Window.partitionBy("a_id")
-        found = pairs.withColumn("rank", F.row_number().over(w.orderBy("dist", "b_id"))).where(F.col("rank") <= k).withColumns({"far": F.max("dist").over(w), "have": F.count("*").over(w)})
-        # All points nearer than the width are in the cells around.
-        sure = found.where(((F.col("have") >= min(k, n_b)) & (F.col("far") <= width)) | (F.col("have") >= n_b)).select("a_id", "b_id", "dist", "rank")
-        sure = sure.cache()
-        out = sure if out is None else out.unionByName(sure)
-        open_ = open_.join(sure.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti").cache()
+        found = pairs.withColumn("rank", F.row_number().over(w.orderBy("dist", "b_id"))).where(F.col("rank") <= k)
+        whole = width > span
+        if not whole:
+            found = found.withColumns({"far": F.max("dist").over(w), "have": F.count("*").over(w)}).where((F.col("have") == k) & (F.col("far") <= width))
+        done = cut(found.select("a_id", "b_id", "dist", "rank"), "nearest")
+        parts.append(done)
+        if whole:
+            break
+        open_ = cut(open_.join(done.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"), "open")
         if open_.isEmpty():
             break
-        rings *= 4
+        width *= 4
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

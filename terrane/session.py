@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -34,3 +34,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         root = f"file://{_OWN[0]}"
     root = root or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage of iterative jobs and survives lost executors. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, tag)
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
