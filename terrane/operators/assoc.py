@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ordering import average_rank, totals
 from terrane.operators.scoring import ratio
 
 
@@ -23,11 +24,6 @@ def information_value(df: DataFrame, by: list[str], bin_: str, labels: DataFrame
     return g.select(*by, bin_, "units", "positives", fr.alias("fr"), F.when(F.col("positives") > 0, F.log(fr)).alias("iv"), F.when(F.col("units") > 0, smooth).alias("smooth"), status.alias("status"), low.alias("low_support"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank of the value in its group, ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def feature_pairs(long: DataFrame, unit: str) -> DataFrame:
     """(a, b, x, y) of every pair a < b of features, over units with finite values of both. long: unit, feature, value."""
     v = long.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
@@ -39,7 +35,7 @@ def feature_pairs(long: DataFrame, unit: str) -> DataFrame:
 def spearman(long: DataFrame, unit: str, least: int = 3) -> DataFrame:
     """(a, b, n, rho): rank correlation over each pair's own complete rows; null with fewer than ``least`` or a constant."""
     p = feature_pairs(long, unit)
-    r = p.withColumns({"rx": average_rank("x", ["a", "b"]), "ry": average_rank("y", ["a", "b"])})
+    r = average_rank(average_rank(p, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
     return r.groupBy("a", "b").agg(F.count("*").alias("n"), correlation("rx", "ry", least).alias("rho"))
 
 
@@ -109,9 +105,7 @@ def eta_squared(df: DataFrame, group: str, by: list[str]) -> DataFrame:
 
 def kruskal(df: DataFrame, group: str, by: list[str]) -> DataFrame:
     """Kruskal-Wallis H with the correction for ties."""
-    key = by or [F.lit(1)]
-    w = Window.partitionBy(*key)
-    ranked = df.withColumns({"rk": F.rank().over(w.orderBy("value")) + (F.count("*").over(Window.partitionBy(*key, "value")) - 1) / 2, "t": F.count("*").over(Window.partitionBy(*key, "value")).cast("double")})
+    ranked = totals(average_rank(df, by, "value", "rk"), [*by, "value"], {"t": F.lit(1.0)})
     g = ranked.groupBy(*by, group).agg(F.sum("rk").alias("r"), F.count("*").cast("double").alias("n"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
     t = g.groupBy(*by).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("rr"), F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.count("*").alias("groups"))
     n = F.col("n")
@@ -121,9 +115,7 @@ def kruskal(df: DataFrame, group: str, by: list[str]) -> DataFrame:
 
 def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
     """U of positives over negatives and its normal score without correction for ties."""
-    key = by or [F.lit(1)]
-    rk = F.rank().over(Window.partitionBy(*key).orderBy("value")) + (F.count("*").over(Window.partitionBy(*key, "value")) - 1) / 2
-    t = df.withColumn("rk", rk).groupBy(*by).agg(F.sum(F.when(F.col("label") == 1, F.col("rk"))).alias("r"), F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
+    t = average_rank(df, by, "value", "rk").groupBy(*by).agg(F.sum(F.when(F.col("label") == 1, F.col("rk"))).alias("r"), F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
     u = F.col("r") - F.col("p") * (F.col("p") + 1) / 2
     return t.select(*by, u.alias("u"), ((u - F.col("p") * F.col("n") / 2) / F.sqrt(F.col("p") * F.col("n") * (F.col("p") + F.col("n") + 1) / 12)).alias("z"))
 

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ordering import row_numbers, totals
+
 
 def token(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]), 256)
@@ -31,8 +33,8 @@ def reference_months(df: DataFrame, seed: int, protocol: str) -> DataFrame:
     folds = df.select(F.col("fold").alias("outer")).distinct()
     month = F.trunc("event_date", "MM")
     donors = df.where("label = 1").select("fold", "unit_id", month.alias("month")).join(F.broadcast(folds), F.col("fold") != F.col("outer"))
-    w = Window.partitionBy("outer")
-    donors = donors.select("outer", "month", (F.row_number().over(w.orderBy("month", "unit_id")) - 1).cast("long").alias("k"), F.count("*").over(w).alias("n"))
+    donors = row_numbers(totals(donors, ["outer"], {"n": F.lit(1).cast("long")}), ["outer"], [F.col("month"), F.col("unit_id")], "k")
+    donors = donors.select("outer", "month", (F.col("k") - 1).alias("k"), "n")
     sizes = donors.groupBy("outer").agg(F.max("n").alias("n"))
     pairs = df.join(F.broadcast(folds)).join(F.broadcast(sizes), "outer").withColumn("h", token(seed, protocol, F.col("outer"), F.col("unit_id")))
     pairs = pairs.withColumn("k", exact_draw("h", "n"))
@@ -45,15 +47,14 @@ def context_fill(df: DataFrame, size: int, seed: int) -> DataFrame:
     """For each outer fold a context of ``size`` training units: all positives, and the background of least hash."""
     folds = df.select(F.col("fold").alias("outer")).distinct()
     train = df.join(F.broadcast(folds), F.col("fold") != F.col("outer")).withColumn("h", token("context", seed, F.col("outer"), F.col("unit_id")))
-    rank = F.row_number().over(Window.partitionBy("outer").orderBy(F.desc("label"), F.when(F.col("label") == 0, F.col("h")), "unit_id"))
-    return train.withColumn("rank", rank).where(F.col("rank") <= size).select("outer", "unit_id", "label")
+    train = row_numbers(train, ["outer"], [F.desc("label"), F.when(F.col("label") == 0, F.col("h")), F.col("unit_id")], "rank")
+    return train.where(F.col("rank") <= size).select("outer", "unit_id", "label")
 
 
 def strip_folds(df: DataFrame, k: int) -> DataFrame:
     """Contiguous strips by (x, y, id), as equal in number as can be."""
-    one = Window.partitionBy(F.lit(1))
-    rn = F.row_number().over(one.orderBy("x", "y", "unit_id")) - 1
-    return df.select("unit_id", F.floor(rn * k / F.count("*").over(one)).cast("int").alias("strip"))
+    d = row_numbers(totals(df.select("unit_id", "x", "y"), [], {"n": F.lit(1).cast("long")}), [], [F.col("x"), F.col("y"), F.col("unit_id")], "rn")
+    return d.select("unit_id", F.floor((F.col("rn") - 1) * k / F.col("n")).cast("int").alias("strip"))
 
 
 def fold_roles(df: DataFrame) -> DataFrame:
@@ -95,15 +96,14 @@ def ratio_sizes(positives: int, background: int, ratio: str) -> tuple[str, int]:
 def subsample_plan(df: DataFrame, size: int, members: int, seed: int) -> DataFrame:
     """For each member all positives and other background without replacement, up to size."""
     d = df.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1)))).withColumn("h", token("member", seed, F.col("member"), F.col("unit_id")))
-    rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("label"), F.when(F.col("label") == 0, F.col("h")), "unit_id"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= size).select("member", "unit_id", "label")
+    d = row_numbers(d, ["member"], [F.desc("label"), F.when(F.col("label") == 0, F.col("h")), F.col("unit_id")], "rank")
+    return d.where(F.col("rank") <= size).select("member", "unit_id", "label")
 
 
 def case_control(df: DataFrame, stratum: list[str], k: int, seed: int) -> DataFrame:
     """Each positive with up to k negatives of its stratum, dealt in hash order without replacement."""
     d = df.withColumn("h", token("match", seed, F.col("unit_id")))
-    rn = F.row_number().over(Window.partitionBy(*stratum, "label").orderBy("h", "unit_id"))
-    d = d.withColumn("rn", rn)
+    d = row_numbers(d, [*stratum, "label"], [F.col("h"), F.col("unit_id")], "rn")
     pos = d.where("label = 1").select(*stratum, F.col("unit_id").alias("case_id"), F.col("rn").alias("turn"))
     neg = d.where("label = 0").select(*stratum, F.col("unit_id").alias("control_id"), F.ceil(F.col("rn") / k).alias("turn"))
     return pos.join(neg, [*stratum, "turn"]).select(*stratum, "case_id", "control_id")
@@ -111,8 +111,8 @@ def case_control(df: DataFrame, stratum: list[str], k: int, seed: int) -> DataFr
 
 def donor_order(df: DataFrame, stratum: list[str], least: int, seed: int) -> DataFrame:
     """A permutation of units within strata of at least ``least`` units; others keep themselves."""
-    w = Window.partitionBy(*stratum)
-    d = df.select("unit_id", *stratum).withColumns({"n": F.count("*").over(w), "place": F.row_number().over(w.orderBy("unit_id")), "turn": F.row_number().over(w.orderBy(token("donor", seed, F.col("unit_id")), "unit_id"))})
+    d = totals(df.select("unit_id", *stratum, token("donor", seed, F.col("unit_id")).alias("h")), stratum, {"n": F.lit(1).cast("long")})
+    d = row_numbers(row_numbers(d, stratum, [F.col("unit_id")], "place"), stratum, [F.col("h"), F.col("unit_id")], "turn")
     donors = d.select(*stratum, F.col("turn").alias("place"), F.col("unit_id").alias("donor"))
     return d.join(donors, [*stratum, "place"]).select("unit_id", F.when(F.col("n") >= least, F.col("donor")).otherwise(F.col("unit_id")).alias("donor_id"))
 
@@ -130,7 +130,7 @@ def weighted_draws(df: DataFrame, key: str, order: list[str], k: int, seed: int)
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
     """df with a block of columns permuted together by hash order."""
     by = by or []
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    d = df.withColumns({"__place": F.row_number().over(w.orderBy(key)), "__turn": F.row_number().over(w.orderBy(token("permute", seed, F.col(key)), key))})
+    d = row_numbers(df.withColumn("__h", token("permute", seed, F.col(key))), by, [F.col(key)], "__place")
+    d = row_numbers(d, by, [F.col("__h"), F.col(key)], "__turn").drop("__h")
     block = d.select(*by, F.col("__turn").alias("__place"), *columns)
     return d.drop(*columns, "__turn").join(block, [*by, "__place"]).drop("__place")

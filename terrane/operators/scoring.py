@@ -6,15 +6,10 @@ part has as many rows as there are scores. Metrics of a group without both class
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BEFORE = (Window.unboundedPreceding, Window.currentRow)
-
-
-def ordered(by: list[str], *order) -> Window:
-    return Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(1)).orderBy(*order)
-
+from terrane.operators.ordering import average_rank, cumulative, row_numbers, totals
 
 def ratio(a, b) -> Column:
     """a / b as doubles, null where b is 0."""
@@ -31,8 +26,8 @@ def by_score(df: DataFrame, by: list[str], weight: str | None = None) -> DataFra
 def auc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """ROC area with ties counted half."""
     s = by_score(df, by, weight)
-    below = F.sum("neg").over(ordered(by, "p").rowsBetween(*BEFORE)) - F.col("neg")
-    s = s.withColumn("won", F.col("pos") * (below + F.col("neg") * F.lit(0.5)))
+    s = cumulative(s, by, [F.col("p")], {"upto": F.col("neg")})
+    s = s.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") * F.lit(0.5)))
     agg = s.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("p1"), F.sum("neg").alias("n0"))
     return agg.select(*by, F.when((F.col("p1") > 0) & (F.col("n0") > 0), F.col("won") / (F.col("p1") * F.col("n0")).cast("double")).alias("auc"))
 
@@ -40,16 +35,14 @@ def auc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Sum over distinct scores, from the highest, of precision times the gain in recall."""
     s = by_score(df, by)
-    w = ordered(by, F.desc("p")).rowsBetween(*BEFORE)
-    s = s.withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    s = cumulative(s, by, [F.desc("p")], {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")})
     agg = s.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp").cast("double") / F.col("all")).alias("s"), F.sum("pos").alias("p1"), F.sum("neg").alias("n0"))
     return agg.select(*by, F.when((F.col("p1") > 0) & (F.col("n0") > 0), F.col("s") / F.col("p1")).alias("ap"))
 
 
 def running_area(df: DataFrame, by: list[str]) -> DataFrame:
     """df with cum (area down to each row, by falling score, then id) and total."""
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return df.withColumns({"cum": F.sum("area").over(ordered(by, F.desc("p"), "unit_id").rowsBetween(*BEFORE)), "total": F.sum("area").over(whole)})
+    return cumulative(totals(df, by, {"total": F.col("area")}), by, [F.desc("p"), F.col("unit_id")], {"cum": F.col("area")})
 
 
 def coverage_prefix(df: DataFrame, by: list[str], share: float = 0.2) -> DataFrame:
@@ -70,9 +63,8 @@ def capture_inclusive(df: DataFrame, by: list[str], shares: list[float]) -> Data
 def area_at_recall(df: DataFrame, by: list[str], targets: list[float]) -> DataFrame:
     """Least area that holds a share of the positives when units of equal score are taken together."""
     s = df.groupBy(*by, "p").agg(F.sum("label").alias("pos"), F.sum("area").alias("a"))
-    w = ordered(by, F.desc("p")).rowsBetween(*BEFORE)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    s = s.withColumns({"tp": F.sum("pos").over(w), "cum": F.sum("a").over(w), "positives": F.sum("pos").over(whole), "total": F.sum("a").over(whole)})
+    s = totals(s, by, {"positives": F.col("pos"), "total": F.col("a")})
+    s = cumulative(s, by, [F.desc("p")], {"tp": F.col("pos"), "cum": F.col("a")})
     s = s.withColumn("target", F.explode(F.array(*[F.lit(float(t)) for t in targets]))).where(F.col("tp") >= F.col("target") * F.col("positives"))
     first = s.groupBy(*by, "target").agg(F.max_by(F.struct("p", "tp", "cum", "positives", "total"), "p").alias("f"))
     return first.select(*by, "target", F.col("f.p").alias("threshold"), ratio(F.col("f.cum"), F.col("f.total")).alias("area_share"), ratio(F.col("f.tp"), F.col("f.positives")).alias("recall"))
@@ -80,10 +72,8 @@ def area_at_recall(df: DataFrame, by: list[str], targets: list[float]) -> DataFr
 
 def recall_at_top(df: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:
     """Share of positives among the top share of units: their number rounded half to even, one at least."""
-    n = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
     k = F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("n"), 0).cast("long"))
-    r = df.withColumn("rn", F.row_number().over(ordered(by, F.desc("p"), "unit_id")))
-    r = r.join(n, by) if by else r.crossJoin(F.broadcast(n))
+    r = row_numbers(totals(df, by, {"n": F.lit(1).cast("long"), "positives": F.col("label")}), by, [F.desc("p"), F.col("unit_id")], "rn")
     return r.groupBy(*by).agg(F.max("positives").alias("positives"), F.sum(F.when(F.col("rn") <= k, F.col("label")).otherwise(0)).alias("captured")).withColumn("recall", ratio("captured", "positives"))
 
 
@@ -137,16 +127,15 @@ def net_benefit(df: DataFrame, by: list[str], thresholds: list[float]) -> DataFr
 
 def percent_rank_average(df: DataFrame, by: list[str]) -> DataFrame:
     """df with pct: average rank of the score among its group, as a share of the group."""
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    tied = Window.partitionBy(*by, "p")
-    return df.withColumn("pct", (F.rank().over(ordered(by, "p")) + (F.count("*").over(tied) - 1) / 2) / F.count("*").over(whole))
+    ranked = average_rank(totals(df, by, {"__all": F.lit(1).cast("long")}), by, "p", "__rank")
+    return ranked.withColumn("pct", F.col("__rank") / F.col("__all")).drop("__rank", "__all")
 
 
 def cross_conformal(df: DataFrame, alphas: list[float]) -> DataFrame:
     """For each fold, the score that the positives of the other folds exceed with probability 1 - alpha, and what it selects in the fold."""
     folds = df.select("fold").distinct().withColumnRenamed("fold", "outer")
     calib = df.where("label = 1").select("fold", (1 - F.col("p")).alias("s"), "unit_id").join(F.broadcast(folds), F.col("fold") != F.col("outer"))
-    calib = calib.withColumns({"rn": F.row_number().over(Window.partitionBy("outer").orderBy("s", "unit_id")), "n": F.count("*").over(Window.partitionBy("outer"))})
+    calib = row_numbers(totals(calib, ["outer"], {"n": F.lit(1).cast("long")}), ["outer"], [F.col("s"), F.col("unit_id")], "rn")
     calib = calib.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     k = F.least(F.ceil((F.col("n") + 1) * (1 - F.col("alpha"))), F.col("n"))
     q = calib.where(F.col("rn") == k).select(F.col("outer").alias("fold"), "alpha", F.col("s").alias("limit"))

@@ -139,7 +139,7 @@ def correlation_screen(spark, d):
     outer = rows.select(F.col("fold").alias("outer")).distinct()
     p = p.join(F.broadcast(outer), F.col("fold") != F.col("outer"))
     by = ["outer", "a", "b"]
-    r = p.withColumns({"rx": A.average_rank("x", by), "ry": A.average_rank("y", by)})
+    r = A.average_rank(A.average_rank(p, by, "x", "rx"), by, "y", "ry")
     g = r.groupBy(*by).agg(F.count("*").alias("n"), A.correlation("rx", "ry", 3).alias("rho"))
     return g.select(*by, "n", F.round("rho", 6).alias("rho"), (F.abs("rho") > 0.9).alias("drop_b"))
 

@@ -88,7 +88,7 @@ def test_gaps_and_holding(spark):
 
 
 def test_no_feature_sees_its_future(spark):
-    base = [math.sin(i) * 5 for i in range(60)]
+    base = [float(round(math.sin(i) * 5)) for i in range(60)]
     cut = spark.createDataFrame([("A", D(2001, 2, 10))], "station string, cutoff date")
     late = [v if i < 40 else 99.0 for i, v in enumerate(base)]
     for f in (lambda s: timefeat.as_of_history(cut, s, "2001-01-01"), lambda s: timefeat.antecedent(cut, s, 7), lambda s: timefeat.seasonal_control(cut, s, 7, 10)):
@@ -423,3 +423,17 @@ def test_stateful_hold(spark, tmp_path):
     run.awaitTermination()
     got = {(r.station, r.date.day): r.held for r in spark.table("held").collect()}
     assert got == {("A", 1): 1.0, ("A", 2): 1.0, ("A", 4): 1.0, ("A", 5): None, ("B", 1): None}
+
+
+def test_large_groups_are_dealt_by_range(spark, monkeypatch):
+    from terrane.operators import ordering
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(40), rng.randrange(5)) for i in range(500)]
+    d = spark.createDataFrame(rows, "unit_id long, g string, v int, w int")
+    for by in (["g"], []):
+        run = lambda by=by: sorted(map(str, ordering.average_rank(ordering.cumulative(d, by, [F.col("v"), F.col("unit_id")], {"s": F.col("w")}), by, "v", "rk").select("unit_id", "s", "rk").collect()))
+        monkeypatch.setattr(ordering, "WINDOW_ROWS", 10**9)
+        plain = run()
+        monkeypatch.setattr(ordering, "WINDOW_ROWS", 0)
+        assert run() == plain
