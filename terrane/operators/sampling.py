@@ -134,3 +134,15 @@ def permuted(df: DataFrame, key: str, columns: list[str], seed: int, by: list[st
     d = row_numbers(d, by, [F.col("__h"), F.col(key)], "__turn").drop("__h")
     block = d.select(*by, F.col("__turn").alias("__place"), *columns)
     return d.drop(*columns, "__turn").join(block, [*by, "__place"]).drop("__place")
+
+
+def kmeans_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """Folds by k-means of (x, y), numbered by their centres from left to right."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    d = VectorAssembler(inputCols=["x", "y"], outputCol="__xy").transform(df.select("unit_id", "x", "y"))
+    model = KMeans(k=k, seed=seed, featuresCol="__xy", predictionCol="__c").fit(d)
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    number = F.create_map(*[F.lit(v) for new, old in enumerate(order) for v in (old, new)])
+    return model.transform(d).select("unit_id", F.element_at(number, F.col("__c")).alias("fold"))

@@ -112,3 +112,9 @@ def frequency_weights(spark, d):
     e = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.count("*").alias("n"))
     u = units(spark, d).select("unit_id").join(e, "unit_id", "left").withColumn("weight", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).cast("long"))
     return u.groupBy("weight").agg(F.count("*").alias("units"))
+
+
+@q()
+def kmeans_folds(spark, d):
+    """Units of each spatial cluster; tests check that clusters are compact."""
+    return S.kmeans_folds(units(spark, d), 5, 42).groupBy("fold").agg(F.count("*").alias("n"))

@@ -132,3 +132,23 @@ FROM l, (VALUES (50::DOUBLE), (100::DOUBLE), (200::DOUBLE)) e(elevation) WHERE l
 def water_operator(spark, d):
     out = T.filtered_exposure(daily(spark, d), [50, 100, 200])
     return out.select("station", "elevation", "days", *[F.round(c, 9).alias(c) for c in ("falling", "rising", "drops")], F.round("change", 6).alias("change"))
+
+
+QS = (0.1, 0.2, 0.5, 0.8)
+
+
+@q(f"""WITH {PIXELS}, {DAILY}, st AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT station FROM daily)),
+e AS (SELECT unit_id, unnest(['mean', {", ".join(f"'p{round(x * 100)}'" for x in QS)}]) AS variant, unnest([avg(elevation), {", ".join(f"quantile_cont(elevation, {x})" for x in QS)}]) AS raw FROM pixels GROUP BY 1),
+r AS (SELECT unit_id, variant, station, round_even(raw / 10 / 0.5, 0) * 0.5 AS elevation FROM e JOIN st ON unit_id % n = k), u AS (SELECT DISTINCT station, elevation FROM r),
+w AS (SELECT u.station, u.elevation, count(*) FILTER (level >= u.elevation) AS wet, count(*) AS days FROM u JOIN daily d ON d.station = u.station GROUP BY 1, 2)
+SELECT variant, count(*) AS units, round(avg(wet / days::DOUBLE), 6) AS fraction FROM r JOIN w ON w.station = r.station AND w.elevation = r.elevation GROUP BY 1""")
+def inundation_variants(spark, d):
+    """Mean inundated share by the reference elevation that stands for a unit: its mean or one of its quantiles."""
+    days = daily(spark, d)
+    one = Window.partitionBy(F.lit(1))
+    st = days.select("station").distinct().withColumns({"k": F.row_number().over(one.orderBy("station")) - 1, "n": F.count("*").over(one)})
+    stats = pixels(spark, d).groupBy("unit_id").agg(F.avg("elevation").alias("mean"), F.percentile("elevation", F.array(*[F.lit(x) for x in QS])).alias("q"))
+    pairs = F.array(F.struct(F.lit("mean").alias("variant"), F.col("mean").alias("raw")), *[F.struct(F.lit(f"p{round(x * 100)}").alias("variant"), F.col("q")[i].alias("raw")) for i, x in enumerate(QS)])
+    e = stats.select("unit_id", F.inline(pairs))
+    r = e.join(F.broadcast(st), F.col("unit_id") % F.col("n") == F.col("k")).select("unit_id", "variant", "station", (F.rint(F.col("raw") / 10 / 0.5) * 0.5).alias("elevation"))
+    return T.wet_counts(days, r, ["station"]).groupBy("variant").agg(F.count("*").alias("units"), F.round(F.avg(F.col("wet") / F.col("days")), 6).alias("fraction"))

@@ -87,3 +87,21 @@ def test_extended_folds(scored):
     for r in rows:
         best = min(own, key=lambda o, r=r: (math.hypot(r.x - o.x, r.y - o.y), o.unit_id))
         assert got[r.unit_id] == (r.fold if r.unit_id % 2 == 0 else best.fold)
+
+
+def test_clusters_are_compact(spark):
+    from terrane.operators import sampling
+
+    rng = random.Random(2)
+    rows = [(i, (i % 3) * 100 + rng.random(), rng.random()) for i in range(90)]
+    got = {r.unit_id: r.fold for r in sampling.kmeans_folds(spark.createDataFrame(rows, "unit_id long, x double, y double"), 3, 1).collect()}
+    assert got == {i: i % 3 for i in range(90)}
+
+
+def test_permutations_of_equal_values_are_never_extreme(spark):
+    from terrane.operators import inference
+
+    d = spark.createDataFrame([(i, i % 2, 1.0) for i in range(20)], "unit_id long, label int, value double")
+    assert inference.permutation_test(d, [], 9, 1).first().p == 1
+    apart = spark.createDataFrame([(i, int(i < 10), float(i >= 10)) for i in range(20)], "unit_id long, label int, value double")
+    assert inference.permutation_test(apart, [], 9, 1).first().p == pytest.approx(0.1)
