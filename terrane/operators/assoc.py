@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators.ordering import average_rank, totals
+from terrane.operators.ordering import average_rank, joined, quantiles, totals
 from terrane.operators.scoring import ratio
 
 
@@ -122,7 +122,7 @@ def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
 
 def shift(context: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
     """Standardised shift of test against context means, and the share of test values outside the context's 1st to 99th percentile."""
-    c = context.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    c = joined(context.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")), quantiles(context, by, "value", [0.01, 0.99]), by)
     t = test.join(F.broadcast(c), by)
     out = F.avg(((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[1])).cast("double"))
     return t.groupBy(*by).agg(F.when(F.max("sd") > 0, (F.avg("value") - F.max("m")) / F.max("sd")).alias("shift"), out.alias("outside"))

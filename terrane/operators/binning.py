@@ -7,14 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ordering import joined, quantiles
+
 
 def above(edges: Column, x: Column, strict: bool = False) -> Column:
     """How many edges are at most x (below x if strict)."""
     return F.size(F.filter(edges, (lambda e: e < x) if strict else (lambda e: e <= x)))
 
 
-def quantile_edges(column: str, qs: list[float]) -> Column:
-    return F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(q) for q in qs]))))
+def edges(df: DataFrame, by: list[str], column: str, qs: list[float]) -> DataFrame:
+    """(by, edges): distinct quantiles of each group, ascending."""
+    return quantiles(df, by, column, qs, "edges").withColumn("edges", F.array_sort(F.array_distinct("edges")))
 
 
 def band(x: Column, cuts: list[float], right: bool = False) -> Column:
@@ -32,10 +35,10 @@ def adaptive_plan(context: DataFrame, feature: str, value: str) -> DataFrame:
     agg = v.groupBy(feature).agg(
         F.count_distinct(value).alias("levels"),
         F.avg((F.col(value) == 0).cast("double")).alias("zeros"),
-        quantile_edges(value, [0.2, 0.4, 0.6, 0.8]).alias("fifths"),
-        F.percentile(F.when(F.col(value) > 0, F.col(value)), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("up"),
-        F.percentile(F.when(F.col(value) < 0, F.col(value)), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("down"),
     )
+    agg = joined(agg, edges(v, [feature], value, [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("edges", "fifths"), [feature])
+    agg = joined(agg, quantiles(v.where(F.col(value) > 0), [feature], value, [1 / 3, 2 / 3], "up"), [feature])
+    agg = joined(agg, quantiles(v.where(F.col(value) < 0), [feature], value, [1 / 3, 2 / 3], "down"), [feature])
     few = v.groupBy(feature, value).agg(F.lit(1).alias("one")).groupBy(feature).agg(F.sort_array(F.collect_list(value)).alias("values"), F.count("*").alias("n")).where("n <= 8").select(feature, "values")
     kind = F.when(F.col("levels") <= 8, "level").when(F.col("zeros") >= 0.2, "zero").otherwise("fifth")
     return agg.join(few, feature, "left").select(feature, kind.alias("kind"), "values", "fifths", "up", "down")
@@ -52,8 +55,9 @@ def adaptive_bins(rows: DataFrame, plan: DataFrame, feature: str, value: str) ->
 
 def tercile_strata(df: DataFrame, context: DataFrame, columns: tuple[str, str]) -> DataFrame:
     """df with stratum 0..8 from terciles of two columns of the context; -1 where either is missing."""
-    edges = context.agg(*[quantile_edges(c, [1 / 3, 2 / 3]).alias(f"e{i}") for i, c in enumerate(columns)])
-    d = df.crossJoin(F.broadcast(edges))
+    d = df
+    for i, c in enumerate(columns):
+        d = d.crossJoin(F.broadcast(edges(context, [], c, [1 / 3, 2 / 3]).withColumnRenamed("edges", f"e{i}")))
     a, b = (above(F.col(f"e{i}"), F.col(c)) for i, c in enumerate(columns))
     return d.withColumn("stratum", F.when(F.col(columns[0]).isNull() | F.col(columns[1]).isNull(), -1).otherwise(a * 3 + b).cast("int")).drop("e0", "e1")
 
@@ -129,8 +133,8 @@ def break_grades(df: DataFrame, method: str, value: str, k: int, fixed: list[flo
     if method == "fixed":
         return df.withColumn("level", (band(F.col(value), fixed or []) + 1).cast("int"))
     if method == "quantile":
-        edges = df.agg(quantile_edges(value, [i / k for i in range(1, k)]).alias("edges"))
-        return df.crossJoin(F.broadcast(edges)).withColumn("level", (1 + above(F.col("edges"), F.col(value))).cast("int")).drop("edges")
+        cuts = edges(df, [], value, [i / k for i in range(1, k)])
+        return df.crossJoin(F.broadcast(cuts)).withColumn("level", (1 + above(F.col("edges"), F.col(value))).cast("int")).drop("edges")
     if method == "natural":
         one = df.withColumn("__all", F.lit(1))
         return graded_by_breaks(one, breaks_by_group(one, "__all", value, k), "__all", value).drop("__all")

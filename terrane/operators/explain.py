@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ordering import joined, quantiles
 from terrane.operators.scoring import auc
 
 
@@ -33,9 +34,12 @@ def local_changes(scores: DataFrame, baseline: str = "baseline") -> DataFrame:
 def replay_check(a: DataFrame, b: DataFrame, key: list[str], tolerance: float = 2e-5) -> DataFrame:
     """Largest, mean and 99th-percentile absolute difference of two runs' scores, and rows beyond the tolerance."""
     d = a.join(b.withColumnRenamed("p", "__p"), key).select(F.abs(F.col("p") - F.col("__p")).alias("d"))
-    return d.agg(F.count("*").alias("n"), F.max("d").alias("max_abs"), F.avg("d").alias("mean_abs"), F.percentile("d", F.lit(0.99)).alias("p99"), F.count_if(F.col("d") > tolerance).alias("beyond"))
+    g = d.agg(F.count("*").alias("n"), F.max("d").alias("max_abs"), F.avg("d").alias("mean_abs"), F.count_if(F.col("d") > tolerance).alias("beyond"))
+    return g.crossJoin(F.broadcast(quantiles(d, [], "d", [0.99]))).withColumn("p99", F.col("q")[0]).drop("q")
 
 
 def level_profile(long: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean, 10th percentile, median and 90th percentile of each feature by group."""
-    return long.groupBy(*by, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).select(*by, "feature", "n", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("p10", "p50", "p90"))])
+    keys = [*by, "feature"]
+    g = joined(long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean")), quantiles(long, keys, "value", [0.1, 0.5, 0.9]), keys)
+    return g.select(*by, "feature", "n", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("p10", "p50", "p90"))])

@@ -68,3 +68,26 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
 
 def row_numbers(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     return cumulative(df, by, order, {name: F.lit(1).cast("long")})
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q") -> DataFrame:
+    """(by, name): exact, linearly interpolated quantiles of each group's values as an array; nulls are left out.
+
+    Values are counted, their counts added up in order, and each quantile's two neighbours picked by place: no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = totals(counts, by, {"__all": F.col("__n")})
+    counts = cumulative(counts, by, [F.col("__v")], {"__c": F.col("__n")})
+    first = F.col("__c") - F.col("__n")
+    picks = []
+    for i, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("__all") - 1)
+        for side, at in (("l", F.floor(place)), ("h", F.ceil(place))):
+            picks.append(F.max(F.when((first <= at) & (at < F.col("__c")), F.col("__v").cast("double"))).alias(f"{side}{i}"))
+    picked = counts.groupBy(*by).agg(F.max("__all").alias("__all"), *picks)
+    values = []
+    for i, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("__all") - 1)
+        part = place - F.floor(place)
+        values.append(F.when(F.col(f"l{i}") == F.col(f"h{i}"), F.col(f"l{i}")).otherwise((F.ceil(place) - place) * F.col(f"l{i}") + part * F.col(f"h{i}")))
+    return picked.select(*by, F.array(*values).alias(name))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.ordering import average_rank, cumulative, row_numbers, totals
+from terrane.operators.ordering import average_rank, cumulative, joined, quantiles, row_numbers, totals
 
 def ratio(a, b) -> Column:
     """a / b as doubles, null where b is 0."""
@@ -96,8 +96,10 @@ def grade_confusion(df: DataFrame, by: list[str], minimum: list[int]) -> DataFra
 
 def brier(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """Brier score, reliability, resolution and uncertainty, on equal-frequency bins of the score, and the expected calibration error."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("edges"), F.avg("label").alias("base"), F.count("*").alias("n"))
-    d = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))
+    edges = quantiles(df, by, "p", [i / bins for i in range(1, bins)], "edges")
+    d = joined(df, edges, by)
+    means = df.groupBy(*by).agg(F.avg("label").alias("base"), F.count("*").alias("n"))
+    d = joined(d, means, by).withColumn("edges", F.array_distinct("edges"))
     d = d.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("p"))))
     b = d.groupBy(*by, "bin").agg(F.count("*").alias("k"), F.avg("p").alias("mp"), F.avg("label").alias("my"), F.sum(F.pow(F.col("p") - F.col("label"), F.lit(2))).alias("sq"), F.max("base").alias("base"), F.max("n").alias("n"))
     share = F.col("k") / F.col("n")

@@ -79,7 +79,7 @@ def banding(spark, d):
 SELECT l.feature, CAST(len(list_filter(edges, lambda z: z <= value)) AS INTEGER) AS bin, count(*) AS n, round(avg(label), 9) AS fraction FROM long l JOIN e ON e.feature = l.feature GROUP BY 1, 2""")
 def decile_association(spark, d):
     rows = long(spark, d)
-    e = rows.groupBy("feature").agg(N.quantile_edges("value", [i / 10 for i in range(1, 10)]).alias("edges"))
+    e = N.edges(rows, ["feature"], "value", [i / 10 for i in range(1, 10)])
     return rows.join(F.broadcast(e), "feature").groupBy("feature", N.above(F.col("edges"), F.col("value")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("label"), 9).alias("fraction"))
 
 
@@ -87,7 +87,7 @@ def decile_association(spark, d):
 SELECT l.feature, CAST(CASE WHEN value > 400 THEN -1 ELSE len(list_filter(edges, lambda z: z <= value)) END AS INTEGER) AS bin, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM long l JOIN c ON c.feature = l.feature WHERE fold = 0 GROUP BY 1, 2""")
 def context_quintile_bins(spark, d):
     rows = long(spark, d)
-    e = rows.where("fold <> 0").groupBy("feature").agg(N.quantile_edges("value", [0.2, 0.4, 0.6, 0.8]).alias("edges"))
+    e = N.edges(rows.where("fold <> 0"), ["feature"], "value", [0.2, 0.4, 0.6, 0.8])
     bin_ = F.when(F.col("value") > 400, -1).otherwise(N.above(F.col("edges"), F.col("value")))
     return rows.where("fold = 0").join(F.broadcast(e), "feature").groupBy("feature", bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane.operators import bags as B
+from terrane.operators.ordering import quantiles
 from terrane.plans.proxies import PIXELS, UNITS, pixels, units
 from terrane.plans.registry import Catalog
 
@@ -82,7 +83,7 @@ def category_moments(spark, d):
 @q(f"""WITH {PIXELS} SELECT status, {", ".join(f"round(quantile_cont(elevation, {p}), 6) AS p{round(p * 100):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM pixels GROUP BY 1""")
 def zonal_quantiles(spark, d):
     ps = (0.05, 0.25, 0.5, 0.75, 0.95)
-    p = pixels(spark, d).groupBy("status").agg(F.percentile("elevation", F.array(*[F.lit(x) for x in ps])).alias("p"))
+    p = quantiles(pixels(spark, d), ["status"], "elevation", list(ps), "p")
     return p.select("status", *[F.round(F.col("p")[i], 6).alias(f"p{round(x * 100):02d}") for i, x in enumerate(ps)])
 
 

@@ -437,3 +437,16 @@ def test_large_groups_are_dealt_by_range(spark, monkeypatch):
         plain = run()
         monkeypatch.setattr(ordering, "WINDOW_ROWS", 0)
         assert run() == plain
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    from terrane.operators import ordering
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[rng.randrange(9) / 3 for _ in range(5)]])) for _ in range(300)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    for limit in (10**9, 0):
+        monkeypatch.setattr(ordering, "WINDOW_ROWS", limit)
+        got = {r.g: r.q for r in ordering.quantiles(d, ["g"], "v", qs).collect()}
+        assert got == {g: pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], qs)) for g in ("a", "b", None)}
