@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm import textvec as tv
-from terrane.llm.common import arrow_rows, map_texts, materialise
+from terrane.llm.common import arrow_rows, give_back, map_texts, materialise
 from terrane.llm.components import components
 
 WIDTH = 5
@@ -174,6 +174,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
             if ok.any() and (e := forest(ok)):
                 u, v = np.array(e).T
                 yield pa.RecordBatch.from_arrays([pa.array(cid[u]), pa.array(cid[v])], ["u", "v"])
+        give_back()
 
     return met.mapInArrow(brute, "u long, v long").distinct()
 
@@ -234,6 +235,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             counted = np.concatenate([cid[i][x > 0] for i, x in links])
             n = np.concatenate([x[x > 0] for _, x in links]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[counted, ids[u]]), pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(ids[v], pa.int64())]), pa.array(np.r_[n, np.zeros(len(u), np.int64)])], ["u", "v", "n"])
+        give_back()
 
     rows = members.select("path", "bi", "bj", "mine", "cid", "copies", "sh").repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj", "cid")
     return rows.mapInArrow(compare, "u long, v long, n long")

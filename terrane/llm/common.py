@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -69,6 +71,15 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.xxhash64(F.lit(0x5EED), key).bitwiseAND(F.lit(2**62 - 1)) < F.lit(int(2**62 * (rows / n))))
 
 
+def give_back() -> None:
+    """Return what a worker process has freed to the system: workers outlive tasks, and share an executor's memory with the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(at: np.ndarray, most: int = 4 << 20):
     """Row ranges of at most ``most`` bytes each; a longer row stands alone."""
     i, n = 0, len(at) - 1
@@ -97,6 +108,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make: Calla
             parts = [make(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in pieces(at)] or [make(raw, at)]
             made = [pa.concat_arrays(p) for p in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names)
+        give_back()
 
     schema = T.StructType([*[source.schema[i] for i in range(len(keep))], *fields])
     return source.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import arrow_rows, materialise
+from terrane.llm.common import arrow_rows, give_back, materialise
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 4
@@ -154,6 +154,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                         instance.append(key)
                         seed.append(known)
             yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(instance, pa.int64()), pa.array(seed, pa.bool_())], ["pattern", "instance", "seed"])
+        give_back()
 
     return docs.select("text").mapInArrow(read, "pattern string, instance long, seed boolean")
 
@@ -201,6 +202,7 @@ def extract(docs: DataFrame, accepted: frozenset[str] | None = None) -> DataFram
             counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in KINDS]
             digest = [hashlib.sha256(_joined(x for x in f if x[0] != "id").encode()).hexdigest() for f in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(digest, pa.string()), pa.array([_joined(f) for f in found], pa.string())], fields)
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
@@ -231,6 +233,7 @@ def redact(docs: DataFrame, accepted: frozenset[str] | None = None) -> DataFrame
     def read(batches):
         for b in batches:
             yield b.set_column(at, "text", pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string()))
+        give_back()
 
     out = docs.mapInArrow(read, T.StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from terrane.llm import textvec as tv
-from terrane.llm.common import arrow_rows
+from terrane.llm.common import arrow_rows, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 500_000
+CACHE = 200_000
 THREADS = 2
 _BETWEEN = np.ones(256, np.uint8)
 _BETWEEN[0x20] = 0
@@ -199,6 +199,11 @@ class Codec:
                 self._decoded(words[:half], ids[:half])
                 self._decoded(words[half:], ids[half:])
 
+    def forget(self) -> None:
+        """Drop the words at hand."""
+        for held in (self.cache, self.older, self.by_hash, self.older_hash, self.differ_hash, self.lossy_hash, self.differ, self.lossy):
+            held.clear()
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -307,7 +312,7 @@ _CODECS: dict[tuple[bytes, int], Codec] = {}
 
 
 def codec(data: bytes, threads: int) -> Codec:
-    """The worker process's codec for a model; the last model's is kept for later tasks."""
+    """The worker process's codec for a model; the last model's is kept for later tasks, without its words."""
     key = (data, threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -335,6 +340,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=column.is_null())
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(n), pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], [*keep, *names])
+        codec_.forget()
+        give_back()
 
     source = docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].alias("__text"))
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())]
