@@ -59,6 +59,20 @@ def test_proximity_negatives(spark):
     assert M.proximity_negatives(spark.createDataFrame([], "case_id long, control_id long"), 2, 1).count() == 0
 
 
+def test_proximity_negatives_use_all_units(spark):
+    from terrane.plans import catalog
+    from terrane.plans.proxies import units
+
+    folder = "/root/testdata/sf0.001"
+    rows = units(spark, folder).select("unit_id", "x", "y", "label").collect()
+    pairs = {(a.unit_id, b.unit_id) for a in rows if a.label == 1 for b in rows if b.label == 0 and math.dist((a.x, a.y), (b.x, b.y)) <= 12}
+    got = catalog.QUERIES["proximity_negatives"](spark, folder).collect()
+    assert {(r.case_id, r.control_id) for r in got} <= pairs
+    controls, cases = Counter(r.control_id for r in got), Counter(r.case_id for r in got)
+    assert max(controls.values()) == 1 and max(cases.values()) <= 2
+    assert not [(a, b) for a, b in pairs if cases[a] < 2 and b not in controls]
+
+
 def test_near_constant_columns(scored):
     d = scored.withColumns({"flat": F.lit(2.0), "rare": F.when(F.col("unit_id") == 0, 1.0).otherwise(0.0)})
     assert M.near_constant(d, ["x", "flat", "rare"]) == ["flat", "rare"]
