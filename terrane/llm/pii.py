@@ -8,11 +8,15 @@ Bootstrapping: base spans are seed instances. Every seed, and every other token
 with lexical patterns: the two words before it, the word before and the word after it, and the label stuck to it (``name=`` or ``name:``).
 Patterns and instances form a bipartite graph, whose weights are counted over the whole corpus. In each of ``ROUNDS``
 rounds, a pattern's confidence is the mean confidence of its distinct instances, shrunk by ``PRIOR`` unknown ones, and an instance that isn't
-a seed is as confident as the best of its patterns. Patterns of confidence ``CONFIDENT`` at least, and of at least ``SHARE`` of all mentions
-and ``SUPPORT`` distinct instances, are accepted; so there are at most (patterns of a mention) / SHARE of them, which bounds what is broadcast.
-A candidate that an accepted pattern precedes or surrounds, and that overlaps no base span, becomes a span of kind ``id``.
+a seed is as confident as the best of its patterns. Patterns of confidence ``CONFIDENT`` at least, and of at least ``SUPPORT`` distinct
+instances, are accepted, however rare in the corpus. A candidate that an accepted pattern precedes or surrounds, and that overlaps no base
+span, becomes a span of kind ``id``.
 
-Texts are read twice (mentions, then spans) and never shuffled; mentions are. Each text is read whole, in time linear in its length.
+Frequent accepted patterns (at least ``SHARE`` of all pattern mentions, so at most 1 / SHARE of them) are broadcast. The others, of which there may be any
+number, are joined with the candidates' patterns by shuffle, where no key has more than that share; what they find is joined with the rows by a hash of the text.
+
+Texts are read twice (mentions, then spans), or three times if there are rare accepted patterns; they are shuffled only if these find more than
+Spark's limit for broadcasts. Mentions are shuffled. Each text is read whole, in time linear in its length.
 The graph's rounds work on counted edges, so that a pattern of a third of all mentions is one row for each of its instances.
 
 Nulls and edges: null text is empty and has no spans. Repeated rows are judged one by one, and count once for each distinct instance. Without
@@ -173,17 +177,58 @@ def accepted_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         raised = edges.join(scored.select("pattern", "confidence"), "pattern").where("NOT seed").groupBy("instance").agg(F.max("confidence").alias("raised"))
         confidence = materialise(edges.join(raised, "instance", "left").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("raised", F.lit(0.0))).alias("c")), "instances")
     support = edges.groupBy("pattern").agg(F.sum("n").alias("n"))
-    return scored.join(support, "pattern").where((F.col("confidence") >= CONFIDENT) & (F.col("instances") >= SUPPORT) & (F.col("n") >= SHARE * whole)).select("pattern", "confidence")
+    accepted = scored.where((F.col("confidence") >= CONFIDENT) & (F.col("instances") >= SUPPORT)).join(support, "pattern")
+    return accepted.select("pattern", "confidence", (F.col("n") >= SHARE * whole).alias("frequent"))
+
+
+def learn(docs: DataFrame) -> tuple[frozenset[str], DataFrame | None]:
+    """Frequent accepted patterns, of which there are at most 1 / SHARE, and a table of the others, if there are any."""
+    accepted = materialise(accepted_patterns(mentions(docs)), "accepted")
+    rare = accepted.where("NOT frequent").select("pattern")
+    return frozenset(r.pattern for r in accepted.where("frequent").collect()), None if rare.isEmpty() else rare
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ``__key``: a hash of the text, or for texts without digits, in which nothing can be found, of the row, so that they spread."""
+    row = F.concat(F.lit("-"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])))
+    return docs.withColumn("__key", F.when(F.col("text").rlike("[0-9]"), F.sha2("text", 256)).otherwise(row))
 
-def learn(docs: DataFrame) -> frozenset[str]:
-    """Accepted patterns; at most 3 / SHARE of them, as each stands for a SHARE of the mentions' patterns."""
-    return frozenset(r.pattern for r in accepted_patterns(mentions(docs)).collect())
 
+def found_by(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """docs with ``__found``: the (s, e) of the text's candidates that a pattern of the table is around; null without any."""
+    arrow_rows(docs.sparkSession)
 
-def spans(text: str, accepted: frozenset[str]) -> list[tuple[str, int, int]]:
+    def read(batches):
+        for b in batches:
+            key, start, end, pattern = [], [], [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s, e, label in candidates(text, base_spans(text)):
+                    for p in patterns(text, s, e, label):
+                        key.append(k)
+                        start.append(s)
+                        end.append(e)
+                        pattern.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(pattern, pa.string())], ["__key", "s", "e", "pattern"])
+        give_back()
+
+    keyed = _keyed(docs)
+    held = keyed.where(F.col("text").rlike("[0-9]")).select("__key", "text").mapInArrow(read, "__key string, s long, e long, pattern string")
+    # Written first, so that Spark knows their size and moves the texts only if the hits are too many to send.
+    hits = materialise(held.join(rare, "pattern", "left_semi").groupBy("__key").agg(F.collect_set(F.struct("s", "e")).alias("__found")), "found")
+    return keyed.join(hits, "__key", "left").drop("__key")
+
+
+def spans(text: str, accepted: frozenset[str], found: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[str, int, int]]:
+    """Base spans, and candidates that an accepted pattern is around or that are found already."""
     base = base_spans(text)
-    return base + [("id", s, e) for s, e, label in (candidates(text, base) if accepted else ()) if not accepted.isdisjoint(patterns(text, s, e, label))]
+    return base + [("id", s, e) for s, e, label in (candidates(text, base) if accepted or found else ()) if (s, e) in found or not accepted.isdisjoint(patterns(text, s, e, label))]
+
+
+def _places(batch: pa.RecordBatch) -> list[frozenset[tuple[int, int]]]:
+    """``__found`` of each row, empty where it is null or absent."""
+    if "__found" not in batch.schema.names:
+        return [frozenset()] * batch.num_rows
+    return [frozenset((x["s"], x["e"]) for x in f or ()) for f in batch.column("__found").to_pylist()]
 
 
 def _joined(found) -> str:
@@ -193,31 +238,34 @@ def _joined(found) -> str:
 def extract(docs: DataFrame, accepted: frozenset[str] | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans) of every row of docs."""
     arrow_rows(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs) if accepted is None else accepted)
+    frequent, rare = learn(docs) if accepted is None else (accepted, None)
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
     fields = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
 
     def read(batches):
         for b in batches:
-            found = [spans(t or "", held.value) for t in b.column("text").to_pylist()]
+            found = [spans(t or "", held.value, f) for t, f in zip(b.column("text").to_pylist(), _places(b), strict=True)]
             counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in KINDS]
             digest = [hashlib.sha256(_joined(x for x in f if x[0] != "id").encode()).hexdigest() for f in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(digest, pa.string()), pa.array([_joined(f) for f in found], pa.string())], fields)
         give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    rows = docs.select("doc_id", "text")
+    return (rows if rare is None else found_by(rows, rare)).mapInArrow(read, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, accepted: frozenset[str] | None = None) -> DataFrame:
     """docs with every span in text replaced by its kind in capitals and brackets (of overlapping spans, the one that starts first, then the longest, names the whole stretch); n_chars, where there is one, follows."""
     arrow_rows(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs) if accepted is None else accepted)
-    at = docs.columns.index("text")
+    frequent, rare = learn(docs) if accepted is None else (accepted, None)
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    at, docs_columns = docs.columns.index("text"), docs.columns
 
-    def clean(text):
+    def clean(text, found):
         if not text:
             return text
-        found = sorted((s, -e, k) for k, s, e in spans(text, held.value))
+        found = sorted((s, -e, k) for k, s, e in spans(text, held.value, found))
         if not found:
             return text
         out, done = [], 0
@@ -232,8 +280,9 @@ def redact(docs: DataFrame, accepted: frozenset[str] | None = None) -> DataFrame
 
     def read(batches):
         for b in batches:
-            yield b.set_column(at, "text", pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string()))
+            texts = pa.array([clean(t, f) for t, f in zip(b.column(at).to_pylist(), _places(b), strict=True)], pa.string())
+            yield b.set_column(at, "text", texts).select(docs_columns)
         give_back()
 
-    out = docs.mapInArrow(read, T.StructType(docs.schema.fields))
+    out = (docs if rare is None else found_by(docs, rare)).mapInArrow(read, T.StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -311,6 +311,41 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[20] == lines[20] and clean[90] is None
 
 
+def test_unrelated_documents_remove_no_spans(spark):
+    lines = [f"please write to contact {chr(97 + i)}user{i}@mail{i}.example.com for details" for i in range(12)]
+    lines += [f"please write to contact QX-{10000 + i * 37} for details" for i in range(6)] * 2
+    noise = [" ".join(f"row{j % 7} B{k}{j:05d}" for j in range(2000)) for k in range(10, 90)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(lines + noise)] + [(900, None), (901, ""), (None, lines[12])], "doc_id long, text string").repartition(3)
+    frequent, rare = pii.learn(d)
+    assert not frequent and rare.count() == 2  # 25 mentions each of some 320,000
+    got = pii.extract(d).collect()
+    assert len(got) == d.count()
+    by_id = {r.doc_id: r for r in got}
+    assert [by_id[i].n_id for i in range(24)] == [0] * 12 + [1] * 12 and by_id[12].spans == by_id[None].spans == "id:24:32"
+    assert sum(r.n_id for r in got) == 13 and by_id[900].spans == ""
+    out = pii.redact(d)
+    assert out.columns == d.columns and out.dtypes == d.dtypes
+    clean = {r.doc_id: r.text for r in out.collect()}
+    assert clean[0] == "please write to contact [EMAIL] for details" and clean[12] == clean[None] == "please write to contact [ID] for details"
+    assert clean[24] == noise[0] and clean[900] is None and clean[901] == ""
+
+
+def test_frequent_and_rare_patterns_find_the_same(spark, docs, monkeypatch):
+    lines = [f"please write to contact {chr(97 + i)}user{i}@mail{i}.example.com for details" for i in range(12)]
+    lines += [f"please write to contact QX-{10000 + i * 37} for details, ref: AB{10000 + i}" for i in range(6)]
+    d = docs.limit(0).unionByName(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"), True).unionByName(docs)
+    want = [sorted(map(str, f(d).collect())) for f in (pii.extract, pii.redact)]
+    monkeypatch.setattr(pii, "SHARE", 2.0)
+    assert pii.learn(d)[0] == frozenset() and pii.learn(d)[1] is not None
+    assert [sorted(map(str, f(d).collect())) for f in (pii.extract, pii.redact)] == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(map(str, f(d).collect())) for f in (pii.extract, pii.redact)] == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_personal_data_edges(docs, empty):
     assert pii.extract(docs).count() == docs.count() and pii.extract(empty).count() == 0
     out = pii.redact(docs)
