@@ -6,8 +6,8 @@ rule wins, and allow before block among equally long ones. What no rule decides
 host and path are one node, redirects and canonical links join nodes, and a connected component that holds a node that a rule blocks is
 blocked; else it is allowed. A rule that allows a node takes precedence over its component's block; it doesn't unblock others.
 
-Edges come from the pages themselves (``page_edges``: canonical links and refreshing redirects in the HTML; relative links are resolved
-against the page's host) or from any table of (source URL, target URL). Nodes are strings, so nothing collides. Components are found by
+Edges come from the pages themselves (``page_edges``: all canonical links and refreshing redirects in the HTML, with attributes in any order and quoting; relative links are resolved
+against the page's URL) or from any table of (source URL, target URL). Nodes are strings, so nothing collides. Components are found by
 distributed rounds; only blocked nodes that no rule decides (a narrow table) are joined with the pages, by node.
 
 Small rule sets (up to ``RULES_INLINE``) become one CASE expression; larger ones are joined on every suffix of the host.
@@ -18,19 +18,29 @@ are judged one by one. Rules of an empty host fit nothing. Extra columns play no
 
 from __future__ import annotations
 
+import html as markup
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import materialise
+from terrane.llm.common import arrow_rows, give_back, materialise
 from terrane.llm.components import components
 
 RULES_INLINE = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
+#: The forms that the SQL knows; ``targets`` reads all.
 CANONICAL = r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*href=["']?([^"'>\s]+)"""
 REFRESH = r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*content=["']?[^"'>]*url=([^"'>\s]+)"""
+TAG = r"<(?:link|meta)[\s/]"
+_TAG = re.compile(r"<(link|meta)(?=[\s/])", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_TIMED = re.compile(r"\s*[0-9.]+\s*(?:[;,]\s*|(?<=\s))(?:url\s*=\s*)?(.*)", re.I | re.S)
+_URL = re.compile(r"url\s*=\s*(.*)", re.I | re.S)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
 @dataclass(frozen=True)
@@ -82,12 +92,85 @@ def matched(nodes: DataFrame, rules) -> DataFrame:
     return nodes.join(found, ["host", "path"], "left")
 
 
+def tags(text: str):
+    """(name, attributes) of link and meta tags; of equal attributes the first counts. Each character is read once."""
+    at = 0
+    while m := _TAG.search(text, at):
+        at, found = m.end(), {}
+        while at < len(text) and text[at] != ">":
+            a = _ATTRIBUTE.match(text, at)
+            if a is None:
+                at += 1
+                continue
+            value = a[2] if a[2] is not None else a[3] if a[3] is not None else (a[4] or "").strip("\"'")
+            found.setdefault(a[1].lower(), markup.unescape(value))
+            at = a.end()
+        yield m[1].lower(), found
+
+
+def refreshed(content: str) -> str:
+    """URL of a refreshing redirect's content: after the seconds, with or without url= and quotes."""
+    m = _TIMED.match(content) or _URL.search(content)
+    rest = m[1].strip() if m else ""
+    if rest[:1] in ("'", '"'):
+        return rest[1:].split(rest[0], 1)[0].strip()
+    return re.split(r"[\s\"'>]", rest, maxsplit=1)[0]
+
+
+def targets(text: str) -> list[str]:
+    """Different targets of canonical links and refreshing redirects, in order."""
+    out = {}
+    for name, found in tags(text):
+        to = ""
+        if name == "link" and "canonical" in (x.rstrip("/") for x in found.get("rel", "").lower().split()):
+            to = found.get("href", "")
+        elif name == "meta" and found.get("http-equiv", "").strip().rstrip("/").lower() == "refresh":
+            to = refreshed(found.get("content", ""))
+        if to := re.sub(r"[\t\r\n]", "", to.strip()):
+            out[to] = None
+    return list(out)
+
+
+def resolved(to: str, host: str, path: str) -> str:
+    """A target as an absolute URL, seen from a page of the host and path."""
+    if _SCHEME.match(to):
+        return to
+    if to.startswith("//"):
+        return f"http:{to}"
+    to = re.split(r"[?#]", to, maxsplit=1)[0]
+    if not to:
+        return f"http://{host}{path}"
+    whole = to if to.startswith("/") else (path.rpartition("/")[0] or "") + "/" + to
+    kept = []
+    parts = whole.split("/")[1:]
+    for i, x in enumerate(parts):
+        if x == "..":
+            del kept[-1:]
+        elif x != ".":
+            kept.append(x)
+        if x in (".", "..") and i == len(parts) - 1:
+            kept.append("")
+    return f"http://{host}/" + "/".join(kept)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(host, path, to_host, to_path) of canonical links and refreshing redirects in the pages' HTML."""
-    target = F.explode(F.filter(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1)), lambda x: x != ""))
-    linked = pages.where(F.col("html").isNotNull()).select("url", target.alias("__to")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    to = F.when(F.col("__to").startswith("//"), F.concat(F.lit("http:"), "__to")).when(F.col("__to").startswith("/"), F.concat(F.lit("http://"), "host", "__to")).otherwise(F.col("__to"))
-    return linked.select("host", "path", host_of(to).alias("to_host"), path_of(to).alias("to_path"))
+    arrow_rows(pages.sparkSession)
+
+    def read(batches):
+        for b in batches:
+            hosts, paths, found = [], [], []
+            for host, path, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for t in targets(text):
+                    hosts.append(host)
+                    paths.append(path)
+                    found.append(resolved(t, host, path))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, paths, found)], ["host", "path", "__to"])
+        give_back()
+
+    linked = pages.where(F.col("html").rlike(f"(?i){TAG}")).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    linked = linked.where("host <> ''").mapInArrow(read, "host string, path string, __to string")
+    return linked.select("host", "path", host_of(F.col("__to")).alias("to_host"), path_of(F.col("__to")).alias("to_path"))
 
 
 def blocked_aliases(edges: DataFrame, rules=RULES) -> DataFrame:

@@ -52,6 +52,41 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+FORMS = [
+    '<link rel="canonical" href="http://a.com/en/x">',
+    "<link href=http://a.com/en/x rel=canonical>",
+    "<LINK HREF='http://a.com/en/x' type=\"a>b\" REL='Canonical'/>",
+    '<link href="http://a.com/en/x" rel="alternate canonical" />',
+    '<link\n href = " http://a.com/en/x "\n rel = canonical\n>',
+    "<link href=http://a.com/en/x rel=canonical/>",
+    '<link rel=icon href=/i><link data-rel="x" href="&#47;/a.com/en/x?a=1&amp;b" rel="canonical">',
+    '<meta http-equiv="refresh" content="0; url=http://a.com/en/x">',
+    "<meta content=\"0; url='http://a.com/en/x'\" http-equiv=refresh>",
+    "<meta content='0;URL = \"http://a.com/en/x\"' http-equiv='Refresh' />",
+    '<meta http-equiv=refresh content=0;url=http://a.com/en/x>',
+    '<meta charset=utf-8><meta content="5, http://a.com/en/x?url=http://b.info/" http-equiv="refresh">',
+    '<link rel=canonical href=http://q.info/z><link rel=canonical href=http://a.com/en/x>',
+]
+RELATIVE = [
+    ("/t", "/t"), ("t", "/u/v/t"), ("./t", "/u/v/t"), ("../t", "/u/t"), ("../../../t?x#y", "/t"), ("..", "/u/"), ("t/.", "/u/v/t/"), ("?x=http://b.info/", "/u/v/w"), ("t:u/v", None), ("./t:u", "/u/v/t:u"), ("mailto:a@b.c", None), ("go?u=http://b.info/p", "/u/v/go"),
+]
+
+
+def test_links_in_all_forms(spark):
+    rows = [(i, f"http://p{i}.info/", f"<head>{t}</head>") for i, t in enumerate(FORMS)]
+    rows += [(90, "http://n.info/", "<link href=http://a.com/en/x rel=stylesheet><meta name=refresh content='0; url=http://a.com/en/x'>")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: "block" for i in range(len(FORMS))}, 90: "allow"}
+
+
+def test_relative_links_are_resolved(spark):
+    rows = [(f"http://h{i}.info/u/v/w?k", f'<link href="{t}" rel=canonical>') for i, (t, _) in enumerate(RELATIVE)]
+    rows += [("http://bare.info", "<meta content='0;url=t' http-equiv=refresh>"), (None, FORMS[0]), ("no scheme", FORMS[0]), ("http://none.info/", None)]
+    got = {(r.host, r.to_path) for r in urlfilter.page_edges(spark.createDataFrame(rows, "url string, html string")).where("to_host = host").collect()}
+    assert got == {*((f"h{i}.info", p) for i, (_, p) in enumerate(RELATIVE) if p), ("bare.info", "/t")}
+    assert urlfilter.targets("<link " * 200_000) == [] and urlfilter.targets("<link rel=canonical href=\"" * 1000 + "=" * 100_000) is not None
+
+
 def test_large_rule_tables_give_the_same(spark, monkeypatch):
     pages = spark.createDataFrame(URLS, "page_id long, url string, html string")
     small = sorted(map(str, urlfilter.judge(pages).collect()))
