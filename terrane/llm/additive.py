@@ -8,7 +8,8 @@ exactly, in double precision, and the best ``k`` of all blocks are the result.
 
 All rows are indexed, in blocks of about ``BLOCK`` rows, and stay where they are; queries come to them in broadcast batches of at most ``BATCH``
 vectors (a fixed size), one pass over the index for each batch. Of each block and query, only k rows are shuffled. Equal vectors
-of a block are scored once; of each, the k + 1 least ids are kept, which is all that a result can hold, so that copies can't crowd out others.
+of a block are scored once; of each, the k least ids other than the query's are taken, which is all that a result can hold, so that copies can't crowd out others.
+Vectors that only rows of the query's id have are left out before the shortlist is cut, so that these can't either.
 
 Nulls and edges: vectors that are null, zero, hold nulls or non-finite components, or are of another length than most (the most frequent length; ties: the
 shorter) take no part. Rows with null ids take no part. Repeated ids are separate candidates, ordered by id; a query excludes every row of its own id, and a repeated query id is one
@@ -152,37 +153,46 @@ def index(packed: DataFrame, books: np.ndarray, block: int = BLOCK) -> DataFrame
     return rows.mapInArrow(build, "ids binary, vs binary, codes binary, norms binary")
 
 
-def distinct_rows(v: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """First row of each different vector, and the ``most`` least ids of each. ids ascend."""
+def distinct_rows(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """First row of each different vector, the ids of each, and the place of each row's vector among them. ids ascend."""
     _, first, group = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(len(first) + 1))
-    return first, [ids[order[a : min(b, a + most)]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return first, [ids[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], group
 
 
 def scan(blocks, queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, k: int, shortlist: int):
     """(query row, vec_id, distance) of the best k of each block, by lookup tables and exact reranking."""
     tables = np.einsum("qd,mwd->mqw", queries.astype(np.float32), books)
     for ids, v, codes, norms in blocks:
-        first, members = distinct_rows(v, ids, k + 1)
+        first, members, group = distinct_rows(v, ids)
+        sizes = np.bincount(group, minlength=len(first))
         u, codes, norms = v[first], codes[first], norms[first]
         keep = min(len(u), shortlist)
         for s in range(0, len(queries), 128):
             score = np.broadcast_to(norms, (min(128, len(queries) - s), len(u))).copy()
             for m in range(len(books)):
                 score -= 2 * tables[m, s : s + 128][:, codes[:, m]]
+            owned = []
+            for j, q in enumerate(query_ids[s : s + 128]):
+                own, times = np.unique(group[np.searchsorted(ids, q) : np.searchsorted(ids, q, "right")], return_counts=True)
+                alone = own[times == sizes[own]]
+                score[j, alone] = np.inf
+                owned.append((set(own.tolist()), alone))
             near = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-            for j, row in enumerate(near):
+            for j, (row, (own, alone)) in enumerate(zip(near, owned, strict=True)):
                 q = s + j
+                row = row[~np.isin(row, alone)] if len(alone) else row
+                if not len(row):
+                    continue
                 diff = u[row] - queries[q]
                 d = np.sqrt((diff * diff).sum(1))
-                order = np.argsort(d, kind="stable")[: k + 1]
+                order = np.argsort(d, kind="stable")[:k]
                 # At the last distance taken there may be ties: all of that distance stay.
                 order = np.flatnonzero(d <= d[order[-1]])
-                found = np.concatenate([members[row[o]] for o in order])
-                dist = np.repeat(d[order], [len(members[row[o]]) for o in order])
-                other = found != query_ids[q]
-                found, dist = found[other], dist[other]
+                others = [(m[m != query_ids[q]] if r in own else m)[:k] for r, m in ((r, members[r]) for r in row[order].tolist())]
+                found = np.concatenate(others)
+                dist = np.repeat(d[order], [len(m) for m in others])
                 best = np.lexsort((found, dist))[:k]
                 yield q, found[best], dist[best]
 

@@ -191,6 +191,19 @@ def test_search(spark, embeddings):
     assert additive.search(few.limit(0)).count() == 0 and additive.search(few.where("vec_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("shortlist", [20, 512])
+def test_own_rows_take_no_places(spark, shortlist):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=8)
+    rows = [(0, v)] * 30 + [(0, v + (i + 1) * 1e-4) for i in range(40)] + [(7, v), (8, v), (8, v), (9, v + 1e-4)] + [(10 + i, v + rng.normal(size=8)) for i in range(15)]
+    rows = [(i, [float(np.float32(x)) for x in w], 1) for i, w in rows]
+    got = sorted((r.rank, r.vec_id, r.score) for r in additive.search(spark.createDataFrame(rows, SCHEMA), shortlist=shortlist).collect())
+    # Any of the id's rows may be the query.
+    wants = [sorted((math.sqrt(((np.array(w) - np.array(q)) ** 2).sum()), i) for i, w, _ in rows if i != 0)[:10] for z, q, _ in rows if z == 0]
+    assert [r for r, _, _ in got] == list(range(1, 11))
+    assert any([i for _, i, _ in got] == [i for _, i in want] and [s for _, _, s in got] == pytest.approx([d for d, _ in want], abs=1e-12) for want in wants)
+
+
 def brute_near(rows, threshold=0.93):
     v = [np.array(x, float) if usable(x) else None for _, x, _ in rows]
     links = defaultdict(set)
