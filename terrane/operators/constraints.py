@@ -96,7 +96,15 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataF
 
 
 def partition_check(families: DataFrame, by: str, member: str, universe: DataFrame) -> DataFrame:
-    """Members of each family's universe that are covered not exactly once."""
-    grid = families.select(by).distinct().crossJoin(F.broadcast(universe.select(member)))
+    """(by, member, times): members of the universe that a family covers not exactly once. Families are few; universe holds a member once.
+
+    Every member gathers the families that it is in, so only violations are listed, never all pairs of family and member.
+    """
+    names = families.select(by).distinct().agg(F.collect_list(by).alias("__all"))
     n = families.groupBy(by, member).agg(F.count("*").alias("times"))
-    return grid.join(n, [by, member], "left").select(by, member, F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1")
+    seen = n.groupBy(member).agg(F.collect_list(F.struct(by, "times")).alias("__seen"))
+    j = universe.select(member).join(seen, member, "left").crossJoin(F.broadcast(names))
+    held = F.coalesce("__seen", F.array().cast(seen.schema["__seen"].dataType))
+    absent = F.transform(F.array_except("__all", F.transform(held, lambda x: x[by])), lambda x: F.struct(x.alias(by), F.lit(0).cast("long").alias("times")))
+    wrong = F.concat(F.filter(held, lambda x: x["times"] != 1), absent)
+    return j.select(member, F.explode(wrong).alias("w")).select(F.col(f"w.{by}").alias(by), member, F.col("w.times").alias("times"))

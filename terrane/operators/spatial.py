@@ -1,7 +1,6 @@
 """Nearest, radius and k-nearest joins on plane coordinates by grid cells, and neighbour statistics.
 
-Points meet through equal grid cells (a cell and its neighbours), never through a bare distance condition. Nearest joins widen the ring of cells
-for the points that are still open, so every point finds its true nearest.
+Points meet through equal cells (a grid's, or a quadtree's), never through a bare distance condition.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 from terrane.session import cut
 
 EARTH_KM = 6371.0088
+#: Points that a cell of the last level may hold, and how many levels there may be.
+FULL = 4
+DEPTH = 20
 
 
 def distance(x1, y1, x2, y2) -> Column:
@@ -45,42 +47,54 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return pairs.where(F.col("dist") <= radius).select("a_id", "b_id", "dist")
 
 
-def nearest(a: DataFrame, b: DataFrame, size: float, k: int = 1) -> DataFrame:
-    """The k nearest of b for each row of a, of other ids, by distance and then id: (a_id, b_id, dist, rank).
+def nearest(a: DataFrame, b: DataFrame, k: int = 1, other: bool = True) -> DataFrame:
+    """The k nearest of b (id, x, y) for each row of a, by distance and then id: (a_id, b_id, dist, rank). other: never the row of the same id.
 
-    A row meets the 3 x 3 cells around it. It is done when its k-th found is no farther than a cell is wide, as then nothing nearer can lie outside; for the rest cells
-    grow fourfold, until they span all points. ``size``, the first width, should hold some k points.
+    Work is done once for each place of a, and of b only the least ids of a place take part (as many as a result can hold), so that a third of all rows at one place cost no more than a few.
+    Both sides fall into the cells of a quadtree, and go down it at once: of a cell's children and those of the cells that it still has to do with, pairs are dropped whose least distance exceeds the
+    largest one within which enough points lie for sure. Cells of the last level hold ``FULL`` points of b and a few at most, unless ``DEPTH`` levels don't suffice, and only points of the pairs left are compared.
+    So dense and empty regions cost about the same, wherever the points of a lie.
     """
-    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()
-    span = ends.span or 0.0
-    open_, parts, width = a.select("id", "x", "y"), [], size
-    while True:
-        left = around(open_, width).select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
-        right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x", width).alias("cx"), cell("y", width).alias("cy"))
-        pairs = left.join(right, ["cx", "cy"]).where("a_id <> b_id").withColumn("dist", distance("ax", "ay", "bx", "by"))
-        w = Window.partitionBy("a_id")
-        found = pairs.withColumn("rank", F.row_number().over(w.orderBy("dist", "b_id"))).where(F.col("rank") <= k)
-        whole = width > span
-        if not whole:
-            found = found.withColumns({"far": F.max("dist").over(w), "have": F.count("*").over(w)}).where((F.col("have") == k) & (F.col("far") <= width))
-        done = cut(found.select("a_id", "b_id", "dist", "rank"), "nearest")
-        parts.append(done)
-        if whole:
-            break
-        open_ = cut(open_.join(done.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"), "open")
-        if open_.isEmpty():
-            break
-        width *= 4
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def nearest_of_few(units: DataFrame, stations: DataFrame, k: int, dist: Column) -> DataFrame:
-    """The k nearest of a registry of stations (few, so sent to every task), ties by its order. Columns of units with station, place and dist."""
-    pairs = units.crossJoin(F.broadcast(stations)).withColumn("dist", dist)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("unit_id").orderBy("dist", "station_idx"))).where(F.col("rank") <= k)
+    want = k + 1 if other else k
+    least = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    b = cut(b.select("id", "x", "y").withColumn("__n", least).where(F.col("__n") <= want).drop("__n"), "places")
+    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()
+    span = max(ends.span or 0.0, 1e-300) * 1.000001
+    index = lambda c, low: F.floor((F.col(c) - F.lit(float(low or 0.0))) / F.lit(span) * F.lit(float(1 << DEPTH))).cast("long")
+    b = b.withColumns({"cx": index("x", ends.x), "cy": index("y", ends.y)})
+    places = cut(a.select("x", "y").distinct().withColumns({"cx": index("x", ends.x), "cy": index("y", ends.y)}), "places")
+    steps = b.select("cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("step"))
+    full = steps.groupBy("step", F.expr("shiftright(cx, step)").alias("cx"), F.expr("shiftright(cy, step)").alias("cy")).count().groupBy("step").agg(F.max("count").alias("n"))
+    counts = {r.step: r.n for r in full.collect()}
+    last = max((i for i, n in counts.items() if n <= FULL + 2 * want), default=0 if counts else DEPTH)
+    level = lambda df, step, n: df.groupBy(F.shiftright("cx", step).alias(f"{n}x"), F.shiftright("cy", step).alias(f"{n}y"))
+    up = DEPTH
+    pairs = a.sparkSession.createDataFrame([(0, 0, 0, 0)], "ax long, ay long, bx long, by long")
+    while up > last:
+        step = max(last, up - (4 if up == DEPTH else 1))
+        own = level(places, step, "a").agg(F.lit(1)).select("ax", "ay", F.shiftright("ax", up - step).alias("pax"), F.shiftright("ay", up - step).alias("pay"))
+        others = level(b, step, "b").agg(F.count("*").alias("n")).withColumns({"pbx": F.shiftright("bx", up - step), "pby": F.shiftright("by", up - step)})
+        pairs = pairs.toDF("pax", "pay", "pbx", "pby").join(own, ["pax", "pay"]).join(others, ["pbx", "pby"])
+        dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
+        gx, gy = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
+        pairs = pairs.withColumns({"near": gx * gx + gy * gy, "far": (dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)})
+        w = Window.partitionBy("ax", "ay")
+        pairs = pairs.withColumn("sure", F.sum("n").over(w.orderBy("far")))
+        pairs = pairs.withColumn("bound", F.min(F.when(F.col("sure") >= want, F.col("far"))).over(w))
+        pairs = pairs.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound"))).select("ax", "ay", "bx", "by")
+        up = step
+        if (DEPTH - up) % 4 == 0 and up > last:
+            pairs = cut(pairs, "pairs")
+    at = lambda df, n: df.withColumns({f"{n}x": F.shiftright("cx", last), f"{n}y": F.shiftright("cy", last)}).drop("cx", "cy")
+    met = at(places.withColumnsRenamed({"x": "px", "y": "py"}), "a").join(pairs, ["ax", "ay"])
+    met = met.join(at(b.withColumnsRenamed({"id": "b_id", "x": "qx", "y": "qy"}), "b"), ["bx", "by"]).withColumn("dist", distance("px", "py", "qx", "qy"))
+    rank = F.row_number().over(Window.partitionBy("px", "py").orderBy("dist", "b_id"))
+    found = met.withColumn("rank", rank).where(F.col("rank") <= want)
+    near = found.groupBy("px", "py").agg(F.sort_array(F.collect_list(F.struct("dist", "b_id"))).alias("near"))
+    out = a.select(F.col("id").alias("a_id"), F.col("x").alias("px"), F.col("y").alias("py")).join(near, ["px", "py"])
+    kept = F.filter("near", lambda m: m["b_id"] != F.col("a_id")) if other else F.col("near")
+    out = out.select("a_id", F.posexplode(F.slice(kept, 1, k)).alias("at", "m"))
+    return cut(out.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"), (F.col("at") + 1).alias("rank")), "nearest")
 
 
 def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -40,11 +40,11 @@ def population_complete_merge(spark, d):
     return K.complete_population(u.select("unit_id"), scores)
 
 
-@q("""WITH raw AS (SELECT event_type AS station, CAST(ts AS DATE) AS date, CAST(floor(value / 40) AS BIGINT) AS level FROM events WHERE user_id % 10 = 0)
+@q("""WITH raw AS (SELECT event_type AS station, CAST(ts AS DATE) AS date, CAST(floor(value / 40) AS BIGINT) AS level FROM events)
 SELECT 'kept' AS kind, count(*) AS n FROM (SELECT 1 FROM raw GROUP BY station, date HAVING count(DISTINCT level) <= 1) UNION ALL SELECT 'conflict', count(*) FROM (SELECT 1 FROM raw GROUP BY station, date HAVING count(DISTINCT level) > 1)""")
 def dedup_conflict_check(spark, d):
     """Keys whose rows agree, and keys whose rows don't."""
-    raw = read(spark, d, "events").where("user_id % 10 = 0").select(F.col("event_type").alias("station"), F.to_date("ts").alias("date"), F.floor(F.col("value") / 40).alias("level"))
+    raw = read(spark, d, "events").select(F.col("event_type").alias("station"), F.to_date("ts").alias("date"), F.floor(F.col("value") / 40).alias("level"))
     kept, conflict = K.dedup_conflicts(raw, ["station", "date"], "level")
     count = lambda x, n: x.agg(F.lit(n).alias("kind"), F.count("*").alias("n"))
     return count(kept, "kept").unionByName(count(conflict, "conflict"))
@@ -83,12 +83,12 @@ def top_set_jaccard(spark, d):
     return r.groupBy("region").agg((F.count_if(a & b) / F.count_if(a | b)).alias("jaccard"))
 
 
-@q("""WITH f AS (SELECT 'brand' AS family, p_partkey AS member FROM part WHERE p_partkey <= 50 UNION ALL SELECT 'size', p_partkey FROM part WHERE p_partkey <= 50 AND p_partkey % 7 <> 0 UNION ALL SELECT 'size', p_partkey FROM part WHERE p_partkey <= 50 AND p_partkey % 9 = 0),
-u AS (SELECT p_partkey AS member FROM part WHERE p_partkey <= 50), g AS (SELECT DISTINCT family FROM f), c AS (SELECT family, member, count(*) AS n FROM f GROUP BY 1, 2)
+@q("""WITH f AS (SELECT 'brand' AS family, p_partkey AS member FROM part UNION ALL SELECT 'size', p_partkey FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 'size', p_partkey FROM part WHERE p_partkey % 9 = 0),
+u AS (SELECT p_partkey AS member FROM part), g AS (SELECT DISTINCT family FROM f), c AS (SELECT family, member, count(*) AS n FROM f GROUP BY 1, 2)
 SELECT g.family, u.member, coalesce(n, 0) AS times FROM g CROSS JOIN u LEFT JOIN c ON c.family = g.family AND c.member = u.member WHERE coalesce(n, 0) <> 1""")
 def set_ops_partition_check(spark, d):
     """Members that a family covers not exactly once."""
-    p = read(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("member"))
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("member"))
     f = p.withColumn("family", F.lit("brand")).unionByName(p.where("member % 7 <> 0").withColumn("family", F.lit("size"))).unionByName(p.where("member % 9 = 0").withColumn("family", F.lit("size")))
     return K.partition_check(f, "family", "member", p)
 

@@ -95,7 +95,7 @@ def test_alpha_prefers_the_smaller_of_equals(scored):
 
 def test_extended_folds(scored):
     some = scored.where("unit_id < 300")
-    got = {r.unit_id: r.fold for r in M.extended_folds(some, some.where("unit_id % 2 = 0"), 5.0).collect()}
+    got = {r.unit_id: r.fold for r in M.extended_folds(some, some.where("unit_id % 2 = 0")).collect()}
     rows = some.select("unit_id", "x", "y", "fold").collect()
     own = [r for r in rows if r.unit_id % 2 == 0]
     for r in rows:

@@ -262,14 +262,24 @@ def test_nearest_and_radius_equal_brute_force(spark):
     rng = random.Random(5)
     pts = [(i, rng.random() * 100, rng.random() * 100) for i in range(80)] + [(100, 5000.0, 5000.0)]
     d = spark.createDataFrame(pts, "id long, x double, y double")
-    got = {(r.a_id, r["rank"]): r.b_id for r in spatial.nearest(d, d, 3.0, 2).collect()}
+    got = {(r.a_id, r["rank"]): r.b_id for r in spatial.nearest(d, d, 2).collect()}
     for i, x, y in pts:
         order = sorted((math.hypot(x - u, y - v), j) for j, u, v in pts if j != i)
         assert [got[i, 1], got[i, 2]] == [j for _, j in order[:2]]
     pairs = {(r.a_id, r.b_id) for r in spatial.radius_join(d, d, 9.0).collect()}
     assert pairs == {(i, j) for i, x, y in pts for j, u, v in pts if i != j and math.hypot(x - u, y - v) <= 9}
     few = d.where("id < 2")
-    assert spatial.nearest(few, few, 1.0, 5).count() == 2
+    assert spatial.nearest(few, few, 5).count() == 2
+    assert spatial.nearest(few, few.where("id < 0")).count() == 0
+    # A third of all points at one place, and others that are far from all: exact, by distance and then id.
+    hot = pts + [(200 + i, 7.0, 7.0) for i in range(40)] + [(300 + i, 1e6 + i * 1e5, -1e6) for i in range(3)]
+    h = spark.createDataFrame(hot, "id long, x double, y double")
+    got = {(r.a_id, r["rank"]): r.b_id for r in spatial.nearest(h, h, 3).collect()}
+    for i, x, y in hot:
+        order = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in hot if j != i)
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in order[:3]]
+    own = {r.a_id: r.b_id for r in spatial.nearest(d, h, 1, other=False).collect()}
+    assert own == {i: i for i, _, _ in pts}
 
 
 def test_haversine(spark):
@@ -292,7 +302,7 @@ def test_zones_without_cells_take_the_nearest(spark):
     box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     zones = spark.createDataFrame([(1, box(0.5, 0.5, 2.5, 2.5), 0.5, 0.5, 2.5, 2.5, 1.5, 1.5), (2, box(4.1, 4.1, 4.4, 4.4), 4.1, 4.1, 4.4, 4.4, 4.25, 4.25)], "zone long, ring array<struct<x:double,y:double>>, x0 double, y0 double, x1 double, y1 double, cx double, cy double")
     a = zonal.assign_cells(cells, zones, 2.0)
-    got = zonal.with_fallback(a, zones, cells, 1.0).groupBy("zone").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    got = zonal.with_fallback(a, zones, cells).groupBy("zone").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
     assert {r.zone: r.ids for r in got} == {1: [11, 12, 21, 22], 2: [44]}
     assert zonal.zonal_stats(a.withColumn("v", F.col("x")), "zone", ["v"]).where("zone = 1").first().v_mean == 1.5
 
