@@ -4,14 +4,15 @@ The model's protocol buffer is parsed here (pieces with scores and types, traine
 tokenizer: the normaliser (character map, spaces to the metaspace marker, marker before the text), unigram scores or merges
 ranked by score, byte fallback, and the decoder that reverses them.
 
-Where no piece holds the marker after another character (which is checked), pieces never cross the start of a
-word; then only words that a worker hasn't seen yet are encoded, in one multithreaded batch for each Arrow batch. Else whole texts are.
-What is encoded (words, or texts) is encoded by the sentencepiece library too. Where the ids differ (merges of equal score, as in
-long runs of spaces, may be taken in another order), ``parity`` is false and the ids are the original library's. It is decoded again as well, and
-``round_trip`` tells that this gives the text.
+The ids returned are the rebuilt tokenizer's. Every whole text is encoded by the sentencepiece library as well, and ``parity`` tells that all ids
+agree (merges of equal score, as in long runs of spaces, may be taken in another order). ``round_trip`` tells that the ids decode to the text.
+
+Where no piece holds the marker after another character (which is checked) and the normaliser drops and maps nothing, pieces never cross the start of a
+word, so the rebuilt tokenizer needs to see only words that a worker hasn't seen yet; they are encoded in one multithreaded batch for each slice of
+about ``SLICE`` bytes of texts. Words are told apart by their bytes. Texts that hold the marker itself, and all texts under other models, are encoded whole.
 
 Model bytes are read on the driver and broadcast (a file of fixed size); no file is needed on executors. There is no
-shuffle; a worker's memory is bounded by its batch and a cache of ``CACHE`` words.
+shuffle; a worker's memory is bounded by its batch, the ids of a slice and a cache of twice ``CACHE`` words.
 
 Nulls and edges: null text gives null ids, 0 tokens, and true for both checks, as nothing is to be encoded; empty text gives no ids. Normalisers
 that drop or change characters make ``round_trip`` false where they do. Repeated rows are encoded one by one. Extra columns are kept by ``encode``
@@ -23,24 +24,23 @@ from __future__ import annotations
 import gc
 import itertools
 import os
-import re
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from terrane.llm import textvec as tv
-from terrane.llm.common import arrow_rows, give_back
+from terrane.llm.common import arrow_rows, give_back, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 200_000
 THREADS = 2
-_BETWEEN = np.ones(256, np.uint8)
-_BETWEEN[0x20] = 0
+SLICE = 4 << 20
 # Fixed values of the public model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -149,49 +149,40 @@ class Codec:
         m = parse(data)
         self.threads = threads
         self.tokenizer = rebuild(m)
-        self.plain = not m.charsmap and not m.drop_extra_spaces and m.escape_spaces
-        self.prefix = MARK if m.dummy_prefix else ""
         self.words = rebuild(m, 0)  # every word comes once
         self.words.normalizer = None
-        self.by_word = m.escape_spaces and m.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-        self.chunks = re.compile(f"{MARK}+[^{MARK}]*").findall
-        self.cache: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.by_hash: dict[int, bytes] = {}
-        self.older_hash: dict[int, bytes] = {}
-        self.differ_hash: set[int] = set()
-        self.lossy_hash: set[int] = set()
-        self.differ: set[str] = set()
-        self.lossy: set[str] = set()
+        self.by_word = not m.charsmap and not m.drop_extra_spaces and m.escape_spaces and m.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.lossy: set[bytes] = set()
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def normalise(self, text: str) -> str:
-        """What the rebuilt normaliser gives; without a character map or spaces to drop, by plain replacement, which is faster."""
-        return self.prefix + text.replace(" ", MARK) if self.plain else self.tokenizer.normalizer.normalize_str(text)
-
-    def fresh(self, words: list[str]) -> list[list[int]]:
-        """Ids of words (each after its marker), compared with the original library's, and decoded again."""
-        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        true = self.original.encode([w[1:] for w in words], num_threads=self.threads)
-        if MARK in words:  # the marker before nothing, which the original library gives only after other text
-            k = words.index(MARK)
-            true[k] = ids[k]
-        if ids != true:
-            self.differ.update(w for w, i, t in zip(words, ids, true, strict=True) if i != t)
+    def forget(self) -> None:
+        """Drop the words at hand."""
+        for held in (self.cache, self.older, self.lossy):
+            held.clear()
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of whole texts, and whether they decode to the texts."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return ids, [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words (each after its spaces), packed, in the cache; those that don't decode to themselves among the lossy ones."""
+        shown = [w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
+        ids = [e.ids for e in self.words.encode_batch_fast(shown, add_special_tokens=False)]
+        ends = list(itertools.accumulate(map(len, ids), initial=0))
+        packed = np.fromiter(itertools.chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
+        self.cache.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(words, ends[:-1], ends[1:], strict=True))
         # Decoding joins what the pieces stand for, so many words are decoded as one text, and looked at singly only if that isn't theirs.
         for k in range(0, len(words), 256):
-            self._decoded(words[k : k + 256], true[k : k + 256])
-        return true
+            self._decoded(words[k : k + 256], ids[k : k + 256])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE:  # what was used since the last time stays for one more turn
-            self.older, self.cache = self.cache, {}
-        self.cache.update((w, self.older[w]) for w in words if w in self.older)
-        new = [w for w in words if w not in self.cache]
-        self.cache.update(zip(new, self.fresh(new), strict=True))
-
-    def _decoded(self, words: list[str], ids: list[list[int]]) -> None:
-        if self.words.decode(list(itertools.chain.from_iterable(ids)), skip_special_tokens=False) != "".join(words)[1:].replace(MARK, " "):
+    def _decoded(self, words: list[bytes], ids: list[list[int]]) -> None:
+        if self.words.decode(list(itertools.chain.from_iterable(ids)), skip_special_tokens=False) != b"".join(words)[1:].decode("utf-8", "replace"):
             if len(words) == 1:
                 self.lossy.update(words)
             else:
@@ -199,113 +190,83 @@ class Codec:
                 self._decoded(words[:half], ids[:half])
                 self._decoded(words[half:], ids[half:])
 
-    def forget(self) -> None:
-        """Drop the words at hand."""
-        for held in (self.cache, self.older, self.by_hash, self.older_hash, self.differ_hash, self.lossy_hash, self.differ, self.lossy):
-            held.clear()
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def _packs(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of different words."""
+        if len(self.cache) + len(words) > CACHE:  # what was used since the last time stays for one more turn
+            self.older, self.cache = self.cache, {}
+            self.lossy.intersection_update([*self.older, *words])
+        self.cache.update((w, self.older[w]) for w in words if w in self.older)
+        if new := [w for w in words if w not in self.cache]:
+            self._learn(new)
+        return [self.cache[w] for w in words]
+
+    def _by_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the number of each text's, and its round trip, of texts without markers. Empty texts have no ids."""
+        n = len(column)
+        _, offsets, data = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), column, pa.scalar(" ", pa.large_string())).buffers()
+        at = np.frombuffer(offsets, np.int64)[: n + 1]
+        raw = np.frombuffer(data, np.uint8)[: at[-1]]
+        empty = np.diff(at) == 1
+        start = raw == 0x20
+        start[1:] &= raw[:-1] != 0x20
+        start[at[:-1]] = True
+        start = np.flatnonzero(start)
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, at[-1])), data]).dictionary_encode()
+        known = words.dictionary.to_pylist()
+        inverse = words.indices.to_numpy()
+        packs = self._packs(known)
+        size = np.fromiter(map(len, packs), np.int64, len(packs)) // 4
+        ids = np.frombuffer(b"".join(packs), np.int32)
+        origin = np.cumsum(size) - size
+        row = np.searchsorted(at, start, "right") - 1
+        inverse, row = inverse[~empty[row]], row[~empty[row]]
+        each = size[inverse]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(origin[inverse] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        fits = np.ones(n, bool)
+        if self.lossy:
+            bad = np.fromiter((w in self.lossy for w in known), bool, len(known))
+            fits[row[bad[inverse]]] = False
+        return flat, np.bincount(row, each, n).astype(np.int64), fits
 
-    def checked(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-        """ids, whether the two libraries agree, and whether the ids decode to the text."""
-        if not self.by_word:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            true = self.original.encode(texts, num_threads=self.threads)
-            return true, [a == b for a, b in zip(ids, true, strict=True)], [a == b for a, b in zip(self.decode(true), texts, strict=True)]
+    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of an Arrow column of texts: all ids, n + 1 offsets into them, parity and round trip."""
         gc.disable()  # nothing here makes cycles, and collections would walk the whole cache again and again
         try:
-            return self._by_words(texts)
+            return self._encoded(column)
         finally:
             gc.enable()
 
-    def _by_words(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-        whole = [self.normalise(t) if t else "" for t in texts]
-        parts = [self.chunks(t) for t in whole]
-        if new := set().union(*parts).difference(self.cache):
-            # All words of the batch are at hand while it is put together, even if the cache turns over.
-            self.learn(new if len(self.cache) + len(new) <= CACHE else set().union(*parts))
-        get = self.cache.__getitem__
-        ids = [list(itertools.chain.from_iterable(map(get, p))) for p in parts]
-        same = [self.differ.isdisjoint(p) for p in parts] if self.differ else [True] * len(texts)
-        back = [w[1:].replace(MARK, " ") == t and (not self.lossy or self.lossy.isdisjoint(p)) for w, t, p in zip(whole, texts, parts, strict=True)]
-        return ids, same, back
-
-
-    def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of an Arrow column of texts: all ids, n + 1 offsets into them, parity and round trip.
-
-        Texts whose words stand after single spaces, without a marker of their own, are looked up by the words' hashes, all at once; the rest are encoded one by one.
-        """
-        raw, at = tv.texts(column)
-        n = len(at) - 1
-        plain = np.diff(at) > 0 if self.by_word and self.plain else np.zeros(n, bool)
-        if len(raw):
-            space = raw == 0x20
-            odd = [np.flatnonzero(space[1:] & space[:-1]), np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))]
-            for where in odd:
-                plain[np.searchsorted(at, where, "right") - 1] = False
-            some = np.flatnonzero(plain)
-            plain[some] &= ~(space[at[some]] | space[at[some + 1] - 1])
-        counts, parity, back = np.zeros(n, np.int64), np.ones(n, bool), np.ones(n, bool)
-        parts: list = [None] * n
-        slow = np.flatnonzero(~plain & (np.diff(at) > 0))
-        if len(slow):
-            data = raw.tobytes()
-            ids, same, fits = self.checked([data[at[i] : at[i + 1]].decode("utf-8", "replace") for i in slow])
-            for i, x in zip(slow, ids, strict=True):
+    def _encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        column = column.cast(pa.large_string()).fill_null("")
+        if not self.by_word:
+            apart = np.ones(len(column), bool)
+        else:
+            apart = pc.match_substring(column, MARK).to_numpy(zero_copy_only=False)
+        texts = column.to_pylist()
+        plain, rest = np.flatnonzero(~apart), np.flatnonzero(apart)
+        counts, back = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        flat = np.zeros(0, np.int32)
+        if len(plain):
+            flat, counts[plain], back[plain] = self._by_words(column.take(pa.array(plain)))
+        if len(rest):
+            ids, back[rest] = self.whole([texts[i] for i in rest])
+            counts[rest] = [len(x) for x in ids]
+            parts: list = [None] * len(texts)
+            for i, x in zip(plain, np.split(flat, np.cumsum(counts[plain])[:-1]) if len(plain) else (), strict=True):
+                parts[i] = x
+            for i, x in zip(rest, ids, strict=True):
                 parts[i] = np.array(x, np.int32)
-                counts[i] = len(x)
-            parity[slow], back[slow] = same, fits
-        gc.disable()
-        try:
-            flat, bounds = self._by_hashes(raw, at, plain, parity, back)
-        finally:
-            gc.enable()
-        counts[plain] = np.diff(bounds)
-        if len(slow):
-            for k, i in enumerate(np.flatnonzero(plain)):
-                parts[i] = flat[bounds[k] : bounds[k + 1]]
-            flat = np.concatenate([x for x in parts if x is not None]) if n else flat
-        return flat, np.concatenate([[0], np.cumsum(counts)]), parity, back
-
-    def _by_hashes(self, raw, at, plain, parity, back) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and offsets of the plain rows."""
-        start, end, first = tv.runs(raw, at, _BETWEEN)
-        number = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        keep = plain[number]
-        start, end, number = start[keep], end[keep], number[keep]
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(int(plain.sum()) + 1, np.int64)
-        hashes, index, inverse = np.unique(tv.hash_runs(raw, start, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.by_hash) + len(keys) > CACHE:
-            self.older_hash, self.by_hash = self.by_hash, {}
-        known = self.by_hash
-        older = self.older_hash
-        known.update((k, older[k]) for k in keys if k in older)
-        if new := [i for i, k in enumerate(keys) if k not in known]:
-            words = [MARK + raw[start[j] : end[j]].tobytes().decode("utf-8", "replace") for j in index[new].tolist()]
-            before = len(self.differ), len(self.lossy)
-            true = self.fresh(words)
-            ends = list(itertools.accumulate(map(len, true), initial=0))
-            packed = np.fromiter(itertools.chain.from_iterable(true), np.int32, ends[-1]).tobytes()
-            known.update((keys[i], packed[4 * a : 4 * b]) for i, a, b in zip(new, ends[:-1], ends[1:], strict=True))
-            if before != (len(self.differ), len(self.lossy)):
-                self.differ_hash.update(keys[i] for i, w in zip(new, words, strict=True) if w in self.differ)
-                self.lossy_hash.update(keys[i] for i, w in zip(new, words, strict=True) if w in self.lossy)
-        packs = [known[k] for k in keys]
-        size = np.fromiter(map(len, packs), np.int64, len(packs)) // 4
-        ids = np.frombuffer(b"".join(packs), np.int32)
-        origin = np.cumsum(size) - size
-        each = size[inverse]
-        ends = np.cumsum(each)
-        flat = ids[np.repeat(origin[inverse] - (ends - each), each) + np.arange(ends[-1])]
-        for bad, flags in ((self.differ_hash, parity), (self.lossy_hash, back)):
-            if bad:
-                flags[number[np.isin(hashes, np.fromiter(bad, np.uint64, len(bad)))[inverse]]] = False
-        rows = np.flatnonzero(plain)
-        return flat, np.concatenate([[0], ends])[np.searchsorted(number, np.concatenate([rows, [len(plain)]]))]
+            flat = np.concatenate(parts)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        true = self.original.encode(texts, num_threads=self.threads)
+        parity = np.fromiter(map(len, true), np.int64, len(true)) == counts
+        if parity.all():
+            unlike = np.flatnonzero(np.fromiter(itertools.chain.from_iterable(true), np.int32, at[-1]) != flat)
+            parity[np.searchsorted(at, unlike, "right") - 1] = False
+        else:
+            parity &= [bool(np.array_equal(flat[a:b], x)) for a, b, x in zip(at[:-1], at[1:], true, strict=True)]
+        return flat, at, parity, back
 
 
 _CODECS: dict[tuple[bytes, int], Codec] = {}
@@ -336,9 +297,10 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
         codec_ = codec(held.value, threads)
         for b in batches:
             column = b.column(len(keep))
-            flat, at, parity, back = codec_.encoded(column)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()), mask=column.is_null())
-            n = np.diff(at)
+            parts = [codec_.encoded(column.slice(i, j - i)) for i, j in pieces(tv.texts(column)[1], SLICE)] or [codec_.encoded(column)]
+            n = np.concatenate([np.diff(at) for _, at, _, _ in parts])
+            flat, parity, back = (np.concatenate(x) for x in ([p[0] for p in parts], [p[2] for p in parts], [p[3] for p in parts]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()), mask=column.is_null())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(n), pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], [*keep, *names])
         codec_.forget()
         give_back()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -355,14 +357,36 @@ def test_personal_data_edges(docs, empty):
 # --- 3: SentencePiece --------------------------------------------------------------------------------------------------------------------
 
 
-def test_codec_has_the_ids_of_the_original():
-    c = spm.Codec(spm.model_bytes(), 1)
+def encoded(c, texts):
+    """ids, parity and round trip of each text."""
+    flat, at, parity, back = c.encoded(pa.array(texts, pa.string()))
+    return [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)], parity.tolist(), back.tolist()
+
+
+def odd_texts():
     rng = random.Random(1)
     odd = ["", " ", "  a", "a  b ", "\n", "a▁b", "<s>x", "<0x0A>", "é̀😀\u0000z", "\t\tx   y", "▁▁", "a ", " a", "w" * 5000] + [" " * n + "x" + " " * n for n in range(2, 40)]
-    odd += ["".join(rng.choice([" ", "a", "the", "\n", "é", "😀", "▁", "  ", "ñ", "x1", "!!"]) for _ in range(rng.randrange(30))) for _ in range(500)]
-    ids, _, back = c.checked(odd)
-    assert ids == c.original.encode(odd)
-    assert back == [a == b for a, b in zip(c.original.decode(ids), odd, strict=True)]
+    return odd + ["".join(rng.choice([" ", "a", "the", "\n", "é", "😀", "▁", "  ", "ñ", "x1", "!!"]) for _ in range(rng.randrange(30))) for _ in range(500)]
+
+
+def test_ids_are_the_rebuilt_tokenizers_and_parity_compares_whole_texts():
+    c = spm.Codec(spm.model_bytes(), 1)
+    odd = odd_texts()
+    ids, parity, back = encoded(c, odd)
+    assert ids == [e.ids for e in c.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    true = c.original.encode(odd)
+    assert parity == [a == b for a, b in zip(ids, true, strict=True)] and sum(parity) > 0.99 * len(odd)
+    assert back == [c.tokenizer.decode(a, skip_special_tokens=False) == b for a, b in zip(ids, odd, strict=True)]
+
+
+def test_a_broken_model_shows(monkeypatch):
+    """Ids come from the rebuilt tokenizer: without its merges they are others, which parity tells."""
+    texts = ["the same words", "other words", ""]
+    whole = encoded(spm.Codec(spm.model_bytes(), 1), texts)
+    monkeypatch.setattr(spm, "merges", lambda m: [])
+    broken = encoded(spm.Codec(spm.model_bytes(), 1), texts)
+    assert whole[1] == [True] * 3 and broken[1] == [False, False, True]
+    assert broken[0][0] != whole[0][0] and broken[2] == [True] * 3
 
 
 def test_cache_turns_over(monkeypatch):
@@ -371,7 +395,7 @@ def test_cache_turns_over(monkeypatch):
     rng = random.Random(2)
     for _ in range(20):
         texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(20)) for _ in range(5)]
-        assert c.checked(texts)[0] == c.original.encode(texts)
+        assert encoded(c, texts) == (c.original.encode(texts), [True] * 5, [True] * 5)
 
 
 def test_encode_and_decode(docs, empty):
@@ -387,24 +411,35 @@ def test_encode_and_decode(docs, empty):
     assert spm.encode(empty, model).count() == 0
 
 
+def message(fields):
+    """A protocol buffer message."""
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    out = b""
+    for n, v in fields:
+        if isinstance(v, bytes):
+            out += number(n << 3 | 2) + number(len(v)) + v
+        elif isinstance(v, float):
+            out += number(n << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += number(n << 3) + number(v)
+    return out
+
+
 def test_unigram_models_are_rebuilt():
-    """A small unigram model written by hand, as its protocol buffer."""
-    import struct
-
-    def message(fields):
-        out = b""
-        for n, v in fields:
-            if isinstance(v, bytes):
-                out += bytes([n << 3 | 2]) + bytes([len(v)]) + v
-            elif isinstance(v, float):
-                out += bytes([n << 3 | 5]) + struct.pack("<f", v)
-            else:
-                out += bytes([n << 3, v])
-        return out
-
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -5.0, 1), ("▁", -3.0, 1), ("a", -3.5, 1)]
-    data = b"".join(message([(1, message([(1, p.encode()), (2, s), (3, t)]))]) for p, s, t in pieces)
-    data += message([(2, message([(3, 1)])), (3, message([(3, 1), (4, 0), (5, 1)]))])
-    c = spm.Codec(data, 1)
-    texts = ["ab a", "aab", "b", "", "ab ab"]
-    assert c.checked(texts)[0] == c.original.encode(texts) and all(c.checked(texts)[1])
+    """A small unigram model written by hand, and one of 32,000 pieces with byte fallback: those of the model at hand, scored by rank."""
+    small = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -5.0, 1), ("▁", -3.0, 1), ("a", -3.5, 1)]
+    large = [(p, -5 - math.log(i + 1) if kind == spm.NORMAL else s, kind) for i, (p, s, kind) in enumerate(spm.parse(spm.model_bytes()).pieces)]
+    words = ["the", "words", "of", "a", "tokenizer", "naïve", "x1", "日本", "😀", "unbelievable", "zzz", "Ωmega", "123456", "re-entry,"]
+    rng = random.Random(3)
+    many = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(200)] + ["", " a", "a  b", "w" * 300]
+    for pieces, trainer, texts in ((small, [(3, 1)], ["ab a", "aab", "b", "", "ab ab"]), (large, [(3, 1), (35, 1)], many)):
+        data = b"".join(message([(1, message([(1, p.encode()), (2, float(s)), (3, t)]))]) for p, s, t in pieces)
+        data += message([(2, message(trainer)), (3, message([(3, 1), (4, 0), (5, 1)]))])
+        c = spm.Codec(data, 1)
+        assert spm.parse(data).kind == spm.UNIGRAM
+        ids, parity, back = encoded(c, texts)
+        assert ids == c.original.encode(texts) and all(parity)
+        assert back == [c.tokenizer.decode(a, skip_special_tokens=False) == b for a, b in zip(ids, texts, strict=True)]
