@@ -7,7 +7,7 @@ host and path are one node, redirects and canonical links join nodes, and a conn
 blocked; else it is allowed. A rule that allows a node takes precedence over its component's block; it doesn't unblock others.
 
 Edges come from the pages themselves (``page_edges``: all canonical links and refreshing redirects in the HTML, with attributes in any order and quoting; relative links are resolved
-against the page's URL) or from any table of (source URL, target URL). Nodes are strings, so nothing collides. Components are found by
+against the page's URL) or from any table of (source URL, target URL). Nodes are pairs of host and path, so nothing collides. Components are found by
 distributed rounds; only blocked nodes that no rule decides (a narrow table) are joined with the pages, by node.
 
 Small rule sets (up to ``RULES_INLINE``) become one CASE expression; larger ones are joined on every suffix of the host.
@@ -175,9 +175,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
 def blocked_aliases(edges: DataFrame, rules=RULES) -> DataFrame:
     """(host, path) of nodes in components that hold a node blocked by a rule. edges: host, path, to_host, to_path."""
-    node = lambda h, p: F.concat(h, F.lit("\n"), p)  # noqa: E731  no host or path has a line feed that could be taken for this one's place
+    node = lambda h, p: F.struct(F.col(h).alias("host"), F.col(p).alias("path"))
     edges = edges.where("host <> '' AND to_host <> ''").select(node("host", "path").alias("u"), node("to_host", "to_path").alias("v"))
-    found = components(edges).withColumns({"host": F.substring_index("node", "\n", 1), "path": F.expr("substring(node, instr(node, '\\n') + 1)")})
+    found = components(edges).select("node.host", "node.path", "root")
     found = materialise(matched(found, rules), "nodes")
     bad = found.where("NOT rule_allow").select("root").distinct()
     return found.join(bad, "root", "left_semi").select("host", "path")

@@ -109,6 +109,10 @@ def test_components(spark):
         want[s] = min(seen)
     assert got == want
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    # Hubs: stars of 1,500 and 400 leaves, joined by a leaf, whose centres are the largest and the middle node.
+    star = [(9000, i) for i in range(1500)] + [(4000, 4001 + i) for i in range(400)] + [(1499, 4100)]
+    got = components.components(spark.createDataFrame(star, "u long, v long")).collect()
+    assert len(got) == 1902 and all(r.root == 0 for r in got)
     assert components.components(spark.createDataFrame([("b", "a"), ("c", "b")], "u string, v string").limit(2)).where("root = 'a'").count() == 3
 
 

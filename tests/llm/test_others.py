@@ -6,6 +6,7 @@ import hashlib
 import importlib
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -87,6 +88,77 @@ def test_relative_links_are_resolved(spark):
     assert urlfilter.targets("<link " * 200_000) == [] and urlfilter.targets("<link rel=canonical href=\"" * 1000 + "=" * 100_000) is not None
 
 
+def brute_verdicts(pages):
+    """Verdicts by the standard library's HTML parser and URL joining, and a search over the links' graph."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(reversed([(k, v or "") for k, v in attrs]))
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+                self.found.append(a["href"].strip())
+            if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and "url=" in a.get("content", ""):
+                self.found.append(a["content"].split("url=", 1)[1].strip("' "))
+
+    def node(url):
+        if url is None or "://" not in url:
+            return None
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if c in urlfilter.UPPER else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def rule(n):
+        fits = [r for r in urlfilter.RULES if n and (n[0] == r.host or n[0].endswith("." + r.host)) and n[1].startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    graph = defaultdict(set)
+    for _, url, text in pages:
+        parser = Links()
+        parser.feed(text or "")
+        for to in parser.found:
+            a, b = node(url), node(urljoin(url, to)) if url else None
+            if a and b and a[0] and b[0]:
+                graph[a].add(b)
+                graph[b].add(a)
+    bad, todo = set(), [n for n in list(graph) if (r := rule(n)) and not r.allow]
+    while todo:
+        if (n := todo.pop()) not in bad:
+            bad.add(n)
+            todo += graph[n]
+    out = []
+    for i, url, _ in pages:
+        r = rule(node(url))
+        out.append((i, "allow" if (r.allow if r else node(url) not in bad) else "block"))
+    return sorted(out)
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Random link graphs with chains, a hub of 600 pages, relative links, line feeds in hosts, and very long URLs and pages."""
+    rng = random.Random(4)
+    hosts = [f"h{i}.{t}" for i in range(25) for t in ("info", "com", "net", "example.com", "example.net", "org")] + ["p\nq.com", "p"]
+    paths = ["/", "/en/x", "/en/7/y", "/de/81", "/de/9", "/es/", "/a/b/c", "/q.com/en/x"]
+    url = lambda: f"http://{rng.choice(hosts)}{rng.choice(paths)}"
+    link = lambda to: rng.choice([f'<link rel="canonical" href="{to}">', f"<link href='{to}' rel=canonical>", f'<meta content="0; url={to}" http-equiv="refresh">', f"<META HTTP-EQUIV=refresh CONTENT='3; url={to}'>"])
+    pages = []
+    for i in range(260):
+        to = [rng.choice([url(), "/en/x", "../z", "?k=1", f"//{rng.choice(hosts[:-2])}/en/x"]) for _ in range(rng.choice([0, 0, 1, 1, 2]))]
+        pages.append((i, url(), "<p>x</p>" * rng.randrange(3) + "".join(map(link, to)) + "<link rel=icon href=/en/x>"))
+    pages += [(1000 + i, f"http://spoke{i}.info/", link("http://hub.com/en/x")) for i in range(600)]
+    pages += [(2000, "http://long.info/" + "a" * 200_000, "<p>" + "b" * 1_000_000 + link("http://hub.com/en/")), (2001, None, link("http://hub.com/en/x")), (2002, "http://alias.info/", link("http://spoke5.info/")), (2002, "http://alias.info/", None)]
+    pages = [(i, u, t and t.replace("p\nq", "pq")) for i, u, t in pages] + [(3000, "http://lf.info/", None)]
+    got = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).select("page_id", "verdict").collect()
+    want = brute_verdicts(pages)
+    assert sorted(map(tuple, got)) == want and len({v for i, v in want if i < 260}) == 2
+    edges = spark.createDataFrame([("lf.info", "/", "p\nq.com", "/en/x"), ("ok.info", "/", "p", "q.com/en/x")], "host string, path string, to_host string, to_path string")
+    aliases = {(r.host, r.path) for r in urlfilter.blocked_aliases(edges).collect()}
+    assert aliases == {("lf.info", "/"), ("p\nq.com", "/en/x")}
+
+
 def test_large_rule_tables_give_the_same(spark, monkeypatch):
     pages = spark.createDataFrame(URLS, "page_id long, url string, html string")
     small = sorted(map(str, urlfilter.judge(pages).collect()))
