@@ -3,17 +3,17 @@
 A vector is coded as a sum of ``BOOKS`` full-dimensional codewords, one from each codebook, and its code keeps the squared norm
 of that sum. Codebooks are fitted as residual k-means on a bounded sample (``sample_rows``, by hash) in one task;
 codes are found by beam search over the books, ``BEAM`` partial sums at a time. A query scores all codes from a table of its
-products with all codewords: norm - 2 * (sum of table entries). The best ``SHORTLIST`` distinct vectors of every block are then reranked
-exactly, in double precision, and the best ``k`` of all blocks are the result.
+products with all codewords: norm - 2 * (sum of table entries). The ``SHORTLIST`` distinct vectors of the best scores, over the whole corpus, are then reranked
+exactly, in double precision, and the best ``k`` are the result: codes alone decide what is looked at.
 
-All rows are indexed, in blocks of about ``BLOCK`` rows, and stay where they are; queries come to them in broadcast batches of at most ``BATCH``
-vectors (a fixed size), one pass over the index for each batch. Of each block and query, only k rows are shuffled. Equal vectors
-of a block are scored once; of each, the k least ids other than the query's are taken, which is all that a result can hold, so that copies can't crowd out others.
-Vectors that only rows of the query's id have are left out before the shortlist is cut, so that these can't either.
+Equal vectors are coded once, and stand for the k + 1 least ids that they have, which is all that a result can hold, so that copies can't crowd out others.
+Codes (``BOOKS`` bytes and a norm for each vector, without the vectors) fall into at most ``GROUPS`` parts by hash, queries into batches of about ``BATCH``, and each pair of part and batch is one task's; a part is
+looked through ``SLICE`` codes at a time. Of each part and query, SHORTLIST rows are shuffled, and of each query SHORTLIST vectors. Nothing but the sample's codebooks and counts comes to
+the driver. Vectors that only rows of the query's id have are left out before the shortlist is cut, so that these can't crowd out others either.
 
 Nulls and edges: vectors that are null, zero, hold nulls or non-finite components, or are of another length than most (the most frequent length; ties: the
 shorter) take no part. Rows with null ids take no part. Repeated ids are separate candidates, ordered by id; a query excludes every row of its own id, and a repeated query id is one
-query (the least vector by order of components). Fewer candidates than k: all of them. No vectors: no rows. Extra columns play no role.
+query (the least vector by its bytes). Fewer candidates than k: all of them. No vectors: no rows. Extra columns play no role.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import arrow_rows, hash_sample, materialise
+from terrane.llm.common import arrow_rows, grouped, hash_sample, materialise
 
-BOOKS = 16
+BOOKS = 40
 WORDS = 256
-BEAM = 8
+BEAM = 4
 SAMPLE_ROWS = 8192
-BLOCK = 8192
-BATCH = 2048
-SHORTLIST = 512
+GROUPS = 32
+PART = 8192
+BATCH = 65_536
+SLICE = 8192
+SHORTLIST = 128
 
 
 def vectors(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,115 +125,113 @@ def train(packed: DataFrame, sample_rows: int = SAMPLE_ROWS, books: int = BOOKS,
     return np.frombuffer(got[0].b, np.float32).reshape(books, words, -1) if got else None
 
 
-def index(packed: DataFrame, books: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """One row for each block: ids, vectors, codes and norms as bytes; ids ascending."""
-    n = packed.count()
-    blocks = max(1, -(-n // block))
-    held = packed.sparkSession.sparkContext.broadcast(books)
-    rows = packed.repartition(blocks, F.pmod(F.xxhash64(F.lit(67), "vec_id"), F.lit(blocks))).sortWithinPartitions("vec_id", "v")
+def distinct_points(packed: DataFrame, k: int) -> DataFrame:
+    """(uid, v, ids array<struct<id, n>>): different vectors, each with its k + 1 least ids and how often (k times at most) each has it."""
+    ids = packed.groupBy("v", F.col("vec_id").alias("id")).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    ids = ids.withColumn("__r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("__r") <= k + 1)
+    points = ids.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))
+    return points.select(F.monotonically_increasing_id().alias("uid"), "v", "ids")
 
-    def build(batches):
-        ids, vs = [], []
 
-        def flush():
-            i, v = np.concatenate(ids), np.vstack(vs)
-            parts = [encode(v[k : k + 512], held.value) for k in range(0, len(v), 512)]
-            codes, norms = np.vstack([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            ids.clear()
-            vs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i, v, codes, norms)], ["ids", "vs", "codes", "norms"])
+def index(points: DataFrame, books: np.ndarray) -> DataFrame:
+    """(uid, owner, code, norm) of every point. owner: the id that alone has the vector, else null."""
+    held = points.sparkSession.sparkContext.broadcast(books)
 
+    def build(batches):
         for b in batches:
             if b.num_rows:
-                ids.append(b.column("vec_id").to_numpy())
-                vs.append(matrix(b.column("v")))
-                if sum(map(len, ids)) >= block:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    return rows.mapInArrow(build, "ids binary, vs binary, codes binary, norms binary")
-
-
-def distinct_rows(v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """First row of each different vector, the ids of each, and the place of each row's vector among them. ids ascend."""
-    _, first, group = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(len(first) + 1))
-    return first, [ids[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], group
-
-
-def scan(blocks, queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, k: int, shortlist: int):
-    """(query row, vec_id, distance) of the best k of each block, by lookup tables and exact reranking."""
-    tables = np.einsum("qd,mwd->mqw", queries.astype(np.float32), books)
-    for ids, v, codes, norms in blocks:
-        first, members, group = distinct_rows(v, ids)
-        sizes = np.bincount(group, minlength=len(first))
-        u, codes, norms = v[first], codes[first], norms[first]
-        keep = min(len(u), shortlist)
-        for s in range(0, len(queries), 128):
-            score = np.broadcast_to(norms, (min(128, len(queries) - s), len(u))).copy()
+                v = matrix(b.column("v"))
+                parts = [encode(v[i : i + 512], held.value) for i in range(0, len(v), 512)]
+                codes, norms = np.vstack([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("owner"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["uid", "owner", "code", "norm"])
+
+    alone = F.when(F.size("ids") == 1, F.col("ids")[0]["id"])
+    return points.select("uid", alone.alias("owner"), "v").mapInArrow(build, "uid long, owner long, code binary, norm float")
+
+
+def best_codes(queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, uid: np.ndarray, owner: np.ndarray, codes: np.ndarray, norms: np.ndarray, keep: int):
+    """(places in uid, scores), one pair for each query: the ``keep`` best of codes by lookup tables, none that the query's id alone has. owner: -1 for none."""
+    for s in range(0, len(queries), 32):
+        q = queries[s : s + 32].astype(np.float32)
+        tables = -2 * np.einsum("qd,mwd->mqw", q, books)
+        best, at = np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0), np.int64)
+        for k in range(0, len(uid), SLICE):
+            part = slice(k, k + SLICE)
+            score = np.broadcast_to(norms[part], (len(q), len(norms[part]))).copy()
             for m in range(len(books)):
-                score -= 2 * tables[m, s : s + 128][:, codes[:, m]]
-            owned = []
-            for j, q in enumerate(query_ids[s : s + 128]):
-                own, times = np.unique(group[np.searchsorted(ids, q) : np.searchsorted(ids, q, "right")], return_counts=True)
-                alone = own[times == sizes[own]]
-                score[j, alone] = np.inf
-                owned.append((set(own.tolist()), alone))
-            near = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-            for j, (row, (own, alone)) in enumerate(zip(near, owned, strict=True)):
-                q = s + j
-                row = row[~np.isin(row, alone)] if len(alone) else row
-                if not len(row):
-                    continue
-                diff = u[row] - queries[q]
-                d = np.sqrt((diff * diff).sum(1))
-                order = np.argsort(d, kind="stable")[:k]
-                # At the last distance taken there may be ties: all of that distance stay.
-                order = np.flatnonzero(d <= d[order[-1]])
-                others = [(m[m != query_ids[q]] if r in own else m)[:k] for r, m in ((r, members[r]) for r in row[order].tolist())]
-                found = np.concatenate(others)
-                dist = np.repeat(d[order], [len(m) for m in others])
-                best = np.lexsort((found, dist))[:k]
-                yield q, found[best], dist[best]
-
-
-def search(rows: DataFrame, k: int = 10, every: int = 100, shortlist: int = SHORTLIST, batch: int = BATCH) -> DataFrame:
+                score += tables[m][:, codes[part, m]]
+            score[query_ids[s : s + 32, None] == owner[None, part]] = np.inf
+            best = np.hstack([best, score])
+            at = np.hstack([at, np.broadcast_to(np.arange(k, k + score.shape[1]), score.shape)])
+            if best.shape[1] > keep:
+                near = np.argpartition(best, keep - 1, axis=1)[:, :keep]
+                best, at = np.take_along_axis(best, near, 1), np.take_along_axis(at, near, 1)
+        for row, places in zip(best, at, strict=True):
+            yield places[np.isfinite(row)], row[np.isfinite(row)]
+
+
+def shortlisted(codes: DataFrame, asked: DataFrame, books: np.ndarray, keep: int) -> DataFrame:
+    """(query_id, uid): the ``keep`` points of the best scores of each query, over all codes."""
+    spark = codes.sparkSession
+    parts = min(GROUPS, max(1, -(-codes.count() // PART)))
+    runs = max(1, -(-asked.count() // BATCH))
+    held = spark.sparkContext.broadcast(books)
+    part = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asked.select(F.lit(0).alias("kind"), part("vec_id", runs, 71).alias("run"), F.col("vec_id").alias("id"), none("long").alias("owner"), F.col("v").alias("data"), none("float").alias("norm")).withColumn("part", every(parts))
+    right = codes.select(F.lit(1).alias("kind"), part("uid", parts, 67).alias("part"), F.col("uid").alias("id"), "owner", F.col("code").alias("data"), "norm").withColumn("run", every(runs))
+    rows = left.unionByName(right).withColumn("task", F.col("run") * parts + F.col("part"))
+    rows = rows.repartitionById(parts * runs, "task").sortWithinPartitions("task", "kind", "id")
+
+    def look(batches):
+        for _, t in grouped(batches, ["task"]):
+            kind = t.column("kind").to_numpy()
+            cut = int(np.searchsorted(kind, 1))
+            if not 0 < cut < len(kind):
+                continue
+            ids, data = t.column("id").to_numpy(), t.column("data").to_pylist()
+            queries = np.frombuffer(b"".join(data[:cut]), np.float64).reshape(cut, -1)
+            codes = np.frombuffer(b"".join(data[cut:]), np.uint8).reshape(len(ids) - cut, -1)
+            owner = t.column("owner").slice(cut)
+            lone = owner.is_valid().to_numpy()
+            owner = np.where(lone, owner.fill_null(0).to_numpy(), ids.min() - 1)
+            norms = t.column("norm").slice(cut).to_numpy().astype(np.float32)
+            del data
+            for q, (at, score) in zip(ids[:cut], best_codes(queries, ids[:cut], held.value, ids[cut:], owner, codes, norms, keep), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q)), pa.array(ids[cut:][at]), pa.array(score)], ["query_id", "uid", "near"])
+
+    found = rows.select("task", "kind", "id", "owner", "data", "norm").mapInArrow(look, "query_id long, uid long, near float")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "uid"))
+    return found.withColumn("__r", rank).where(F.col("__r") <= keep).select("query_id", "uid")
+
+
+def exact(pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, ids, v, q) as (query_id, ids, score): Euclidean distance in double precision."""
+
+    def measure(batches):
+        for b in batches:
+            if b.num_rows:
+                diff = matrix(b.column("v")) - matrix(b.column("q"))
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("ids"), pa.array(np.sqrt((diff * diff).sum(1)))], ["query_id", "ids", "score"])
+
+    schema = T.StructType([pairs.schema["query_id"], pairs.schema["ids"], T.StructField("score", T.DoubleType())])
+    return pairs.select("query_id", "ids", "v", "q").mapInArrow(measure, schema)
+
+
+def search(rows: DataFrame, k: int = 10, every: int = 100, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``every``, its k nearest others by Euclidean distance."""
     spark = rows.sparkSession
     packed = materialise(vectors(rows).where("vec_id IS NOT NULL AND v IS NOT NULL"), "vectors")
     books = train(packed)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if books is None:
-        return empty
-    blocks = materialise(index(packed, books), "index")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    points = materialise(distinct_points(packed, k), "points")
+    codes = materialise(index(points, books), "codes")
     asked = materialise(packed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    parts = -(-asked.count() // (batch // 2))
-    held_books = spark.sparkContext.broadcast(books)
-    found = None
-    for p in range(parts):
-        got = asked.where(F.pmod(F.xxhash64(F.lit(71), "vec_id"), F.lit(parts)) == p).orderBy("vec_id").collect()
-        if not got:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r.vec_id for r in got]), np.frombuffer(b"".join(bytes(r.v) for r in got), np.float64).reshape(len(got), -1)))
-
-        def look(batches, held=held):
-            ids, queries = held.value
-            dim = queries.shape[1]
-
-            def stored():
-                for b in batches:
-                    for i, v, c, n in zip(*(b.column(x).to_pylist() for x in ("ids", "vs", "codes", "norms")), strict=True):
-                        i = np.frombuffer(i, np.int64)
-                        yield i, np.frombuffer(v, np.float64).reshape(-1, dim), np.frombuffer(c, np.uint8).reshape(len(i), -1), np.frombuffer(n, np.float32)
-
-            for q, found, dist in scan(stored(), queries, ids, held_books.value, k, shortlist):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[q])), pa.array(found), pa.array(dist)], ["query_id", "vec_id", "score"])
-
-        part = blocks.mapInArrow(look, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+    near = materialise(shortlisted(codes, asked, books, max(shortlist, k)), "shortlist")
+    pairs = near.join(points, "uid").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    others = exact(pairs).select("query_id", "score", F.explode("ids").alias("i")).where("i.id <> query_id")
+    found = others.select("query_id", "score", F.col("i.id").alias("vec_id"), F.explode(F.sequence(F.lit(1), "i.n")).alias("__n"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

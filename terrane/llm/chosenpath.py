@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm import textvec as tv
-from terrane.llm.common import arrow_rows, give_back, map_texts, materialise
+from terrane.llm.common import arrow_rows, give_back, grouped, map_texts, materialise
 from terrane.llm.components import components
 
 WIDTH = 5
@@ -93,29 +93,6 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def grouped(batches, key: list[str]):
-    """Record batches of rows sorted by key, one table for each key; only the rows of one key and one batch are held."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in key]
-        cut = np.zeros(b.num_rows, bool)
-        for c in columns:
-            cut[1:] |= c[1:] != c[:-1]
-        bounds = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            now = tuple(c[i] for c in columns)
-            if held and now != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(i, j - i))
-            last = now
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 def in_blocks(df: DataFrame, group: str, n: str, member: str, block: int) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in: columns bi <= bj and mine, the row's own block.
 

@@ -89,6 +89,29 @@ def pieces(at: np.ndarray, most: int = 4 << 20):
         i = min(j, n)
 
 
+def grouped(batches, key: list[str]):
+    """Record batches of rows sorted by key, one table for each key; only the rows of one key and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in key]
+        cut = np.zeros(b.num_rows, bool)
+        for c in columns:
+            cut[1:] |= c[1:] != c[:-1]
+        bounds = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            now = tuple(c[i] for c in columns)
+            if held and now != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def map_texts(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[np.ndarray, np.ndarray], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of df (all by default) and new ones that ``make`` computes from the UTF-8 bytes and offsets of a text column.
 

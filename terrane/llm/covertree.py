@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm.additive import matrix, vectors
-from terrane.llm.chosenpath import forest, grouped
-from terrane.llm.common import hash_sample, materialise
+from terrane.llm.chosenpath import forest
+from terrane.llm.common import grouped, hash_sample, materialise
 from terrane.llm.components import components
 
 THRESHOLD = 0.93
