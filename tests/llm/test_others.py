@@ -306,10 +306,7 @@ def brute_near(rows, threshold=0.93):
     return links
 
 
-@pytest.mark.parametrize("block", [2048, 32])
-def test_cover_tree_equals_brute_force(spark, embeddings, monkeypatch, block):
-    monkeypatch.setattr(covertree, "BLOCK", block)
-    rows = vectors()
+def brute_components(rows):
     links = brute_near(rows)
     want = []
     for i, (vec_id, _, _) in enumerate(rows):
@@ -321,23 +318,73 @@ def test_cover_tree_equals_brute_force(spark, embeddings, monkeypatch, block):
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
         component = (min(ids) if ids else None) if len(seen) > 1 else vec_id
         want.append((vec_id, len(links[i]), component, vec_id == component))
-    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(embeddings).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, want))
+    return sorted(map(str, want))
+
+
+@pytest.mark.parametrize("block", [2048, 32])
+def test_cover_tree_equals_brute_force(spark, embeddings, monkeypatch, block):
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    clashing = embeddings.selectExpr("*", "1 AS cell", "2 AS pid", "3 AS whole", "4 AS block")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(clashing).collect()]
+    assert sorted(map(str, got)) == brute_components(vectors())
     assert covertree.near_duplicates(embeddings.limit(0)).count() == 0
 
 
-def test_traversal_prunes_without_loss():
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(30, 16))
-    x = np.vstack([c + rng.normal(size=(20, 16)) * 0.1 for c in centres])
-    ok = covertree.linked(x, None, 0.93)
-    n = x / np.linalg.norm(x, axis=1)[:, None]
-    want = n @ n.T >= 0.93
-    np.fill_diagonal(want, False)
-    assert (ok == want).all()
-    tree = covertree.Tree(n, math.sqrt(0.14) / 4)
-    sizes = [len(level[0]) for level in tree.levels]
-    assert sizes == sorted(sizes) and covertree.near_leaves(tree, tree, math.sqrt(0.14)).mean() < 0.2
+def clustered(n_clusters, each, dim, noise, seed=3):
+    rng = np.random.default_rng(seed)
+    return np.vstack([c + rng.normal(size=(each, dim)) * noise for c in rng.normal(size=(n_clusters, dim))])
+
+
+def test_distributed_levels_equal_brute_force(spark, monkeypatch):
+    """Several rounds of splits; large tight groups that are linked as a whole, of which two are near each other; a third of all rows of one label in one group."""
+    monkeypatch.setattr(covertree, "BLOCK", 16)
+    monkeypatch.setattr(covertree, "SAMPLE", 12)
+    monkeypatch.setattr(covertree, "FAN", 4)
+    monkeypatch.setattr(covertree, "DEAL", 40)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=12)
+    beside = hot + rng.normal(size=12) * 0.02
+    x = np.vstack([clustered(12, 20, 12, 0.12), hot + rng.normal(size=(120, 12)) * 0.001, beside + rng.normal(size=(40, 12)) * 0.001, hot + rng.normal(size=(40, 12)) * 0.25])
+    rows = [(i, [float(np.float32(v)) for v in row], i % 7 // 6) for i, row in enumerate(x)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    seen = []
+    real = covertree.leaf_pairs
+
+    def watched(points, levels, reach):
+        pairs = real(points, levels, reach)
+        n = points.groupBy("label", "cell").count().groupBy("label").count().collect()
+        seen.append((len(levels), sum(r["count"] * (r["count"] + 1) // 2 for r in n), pairs.count(), pairs.where("whole AND a = b").count(), pairs.where("whole AND a <> b").count()))
+        return pairs
+
+    monkeypatch.setattr(covertree, "leaf_pairs", watched)
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_duplicates(frame).collect()]
+    assert sorted(map(str, got)) == brute_components(rows)
+    depth, every, left, alone, across = seen[0]
+    assert depth >= 2 and left < every / 3 and alone and across
+
+
+def test_traversal_prunes_without_loss(monkeypatch):
+    reach = math.sqrt(0.14)
+    for x in (clustered(30, 20, 16, 0.1), clustered(1, 300, 4, 1.0), np.ones((5, 3)), np.eye(9), np.eye(1)):
+        ok, seen = covertree.linked(x, None, 0.93)
+        n = covertree.unit(x)
+        want = n @ n.T >= 0.93
+        np.fill_diagonal(want, False)
+        assert (ok == want).all()
+        half = len(x) // 2
+        if half:
+            assert (covertree.linked(x[:half], x[half:], 0.93)[0] == (n @ n.T >= 0.93)[:half, half:]).all()
+        tree = covertree.Tree(n, reach / 4)
+        sizes = [len(level[0]) for level in tree.levels]
+        assert sizes[0] == 1 and sizes == sorted(set(sizes)) and sorted(np.concatenate(tree.points)) == list(range(len(x)))
+        for (ids, radius, kids), (below, _, _) in zip(tree.levels, tree.levels[1:], strict=False):
+            assert list(below[: len(ids)]) == list(ids) and sorted(np.concatenate(kids)) == list(range(len(below)))
+    # On clusters few of the pairs of nodes and points are looked at; without the bound all are.
+    x = clustered(60, 40, 16, 0.05)
+    ok, seen = covertree.linked(x, None, 0.93)
+    assert seen < len(x) ** 2 / 8
+    monkeypatch.setattr(covertree, "_SLACK", 10.0)
+    assert covertree.linked(x, None, 0.93)[1] > len(x) ** 2
 
 
 # --- queries and pipeline ----------------------------------------------------------------------------------------------------------------
