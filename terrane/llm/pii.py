@@ -51,7 +51,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 #: A token that may be an identifier, perhaps after a label: label in group 1, identifier in group 2.
-CANDIDATE = re.compile(r"(?<!\S)([A-Za-z_]{2,24}[=:])?((?=[A-Za-z_/-]*[0-9])[A-Za-z0-9][A-Za-z0-9_/-]{4,62}[A-Za-z0-9])(?=[.,;:!?)]*(?:\s|\Z))")
+CANDIDATE = re.compile(r"(?<!\S)([A-Za-z_]{2,24}[=:])?((?=[A-Za-z_/-]*[0-9])[A-Za-z0-9][A-Za-z0-9_/-]{4,}[A-Za-z0-9])(?=[.,;:!?)]*(?:\s|\Z))")
 _WORD = re.compile(r"\S+")
 
 

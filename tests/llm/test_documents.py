@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import chosenpath, components, ecoc, mixing, pii, quality, spm, textvec
 
@@ -148,15 +149,19 @@ def test_mix_nears_targets_and_reruns_agree(spark, docs):
     assert sorted(map(key, got)) == sorted(key(r.asDict()) for r in again)
 
 
-def test_mix_is_unbiased():
-    """Each size's expected copies over many seeds of ids stays near the rate (the transfer is a martingale)."""
-    # Checked on the rule itself: gains and losses balance whatever the two sizes and probabilities are.
-    rng = random.Random(5)
-    for _ in range(200):
-        a, b, p, q = rng.randrange(1, 900), rng.randrange(1, 900), rng.random(), rng.random()
-        more, less = min((1 - p) * a, q * b), min(p * a, (1 - q) * b)
-        chance = less / (more + less)
-        assert chance * more - (1 - chance) * less == pytest.approx(0, abs=1e-9)
+def test_mix_takes_each_size_at_the_rate(spark, monkeypatch):
+    """Of every size the share of documents that is taken nears the source's rate: no size is preferred. A third of all rows are equal, and are dealt in chunks."""
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    sizes = (1, 3, 10, 40)
+    rows = [(i, "w " * sizes[i % 4], "s") for i in range(4000)] + [(9999, "a b c", "s")] * 2000 + [(5000 + i, "x " * 30, "t") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(docs, weights=(1, 3), share=0.4, most=1.0).groupBy("source", "size", F.col("doc_id") == 9999).agg(F.avg("copies"), F.max(F.col("target") / F.col("source_size")), F.count("*"), F.count_distinct("dup")).collect()
+    assert len(got) == 6 and sum(r[5] for r in got) == 9000
+    for r in got:
+        assert 0.05 < r[4] < 0.95 and abs(r[3] - r[4]) < 0.03
+        assert r[6] == (2000 if r[2] else 1)
+    taken = mixing.mixed(docs, weights=(1, 3), share=0.4, most=1.0).where("doc_id = 9999").count()
+    assert abs(taken / 2000 - next(r[4] for r in got if r[2])) < 0.03
 
 
 def test_mixed_rows(docs, empty):
