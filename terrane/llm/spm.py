@@ -41,6 +41,7 @@ MARK = "▁"
 CACHE = 200_000
 THREADS = 2
 SLICE = 4 << 20
+TOGETHER = 64
 # Fixed values of the public model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -152,16 +153,12 @@ class Codec:
         self.words = rebuild(m, 0)  # every word comes once
         self.words.normalizer = None
         self.by_word = not m.charsmap and not m.drop_extra_spaces and m.escape_spaces and m.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.lossy: set[bytes] = set()
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def forget(self) -> None:
-        """Drop the words at hand."""
-        for held in (self.cache, self.older, self.lossy):
-            held.clear()
-
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
@@ -171,24 +168,32 @@ class Codec:
         return ids, [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of words (each after its spaces), packed, in the cache; those that don't decode to themselves among the lossy ones."""
-        shown = [w.decode("utf-8", "replace").replace(" ", MARK) for w in words]
-        ids = [e.ids for e in self.words.encode_batch_fast(shown, add_special_tokens=False)]
-        ends = list(itertools.accumulate(map(len, ids), initial=0))
-        packed = np.fromiter(itertools.chain.from_iterable(ids), np.int32, ends[-1]).tobytes()
-        self.cache.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(words, ends[:-1], ends[1:], strict=True))
-        # Decoding joins what the pieces stand for, so many words are decoded as one text, and looked at singly only if that isn't theirs.
-        for k in range(0, len(words), 256):
-            self._decoded(words[k : k + 256], ids[k : k + 256])
-
-    def _decoded(self, words: list[bytes], ids: list[list[int]]) -> None:
-        if self.words.decode(list(itertools.chain.from_iterable(ids)), skip_special_tokens=False) != b"".join(words)[1:].decode("utf-8", "replace"):
-            if len(words) == 1:
-                self.lossy.update(words)
+        """Ids of words (each after its spaces), packed, in the cache; those that don't decode to themselves among the lossy ones.
+
+        Words after one space are encoded ``TOGETHER`` at a time, as a text; a piece that starts with the marker starts a word.
+        """
+        single = [w for w in words if not w.startswith(b"  ")]
+        groups = [single[k : k + TOGETHER] for k in range(0, len(single), TOGETHER)] + [[w] for w in words if w.startswith(b"  ")]
+        for group, ids in zip(groups, self._encoded_groups(groups), strict=True):
+            starts = np.flatnonzero(self.opens[np.array(ids, np.int64)]) if len(group) > 1 else np.zeros(1, np.int64)
+            if len(starts) == len(group) and starts[0] == 0:
+                self._keep(group, ids, starts.tolist())
             else:
-                half = len(words) // 2
-                self._decoded(words[:half], ids[:half])
-                self._decoded(words[half:], ids[half:])
+                for w, x in zip(group, self._encoded_groups([[w] for w in group]), strict=True):
+                    self._keep([w], x, [0])
+
+    def _encoded_groups(self, groups: list[list[bytes]]) -> list[list[int]]:
+        shown = [b"".join(g).decode("utf-8", "replace").replace(" ", MARK) for g in groups]
+        return [e.ids for e in self.words.encode_batch_fast(shown, add_special_tokens=False)]
+
+    def _keep(self, words: list[bytes], ids: list[int], starts: list[int]) -> None:
+        ends = [*starts[1:], len(ids)]
+        packed = np.array(ids, np.int32).tobytes()
+        self.cache.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(words, starts, ends, strict=True))
+        # Decoding joins what the pieces stand for, so words are decoded together, and looked at singly only if that isn't their text.
+        if self.words.decode(ids, skip_special_tokens=False) != b"".join(words)[1:].decode("utf-8", "replace"):
+            own = self.words.decode_batch([ids[a:b] for a, b in zip(starts, ends, strict=True)], skip_special_tokens=False)
+            self.lossy.update(w for w, x in zip(words, own, strict=True) if x != w[1:].decode("utf-8", "replace"))
 
     def _packs(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of different words."""
@@ -273,7 +278,7 @@ _CODECS: dict[tuple[bytes, int], Codec] = {}
 
 
 def codec(data: bytes, threads: int) -> Codec:
-    """The worker process's codec for a model; the last model's is kept for later tasks, without its words."""
+    """The worker process's codec for a model; the last model's is kept for later tasks, with its words."""
     key = (data, threads)
     if key not in _CODECS:
         _CODECS.clear()
@@ -302,7 +307,6 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
             flat, parity, back = (np.concatenate(x) for x in ([p[0] for p in parts], [p[2] for p in parts], [p[3] for p in parts]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32()), mask=column.is_null())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(n), pa.array(parity, pa.bool_()), pa.array(back, pa.bool_())], [*keep, *names])
-        codec_.forget()
         give_back()
 
     source = docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].alias("__text"))
