@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from terrane.llm.common import materialise
 
 
-#: A node of more neighbours than this, and than one of ``HUBS`` parts of all edges, is a hub: there are at most ``HUBS`` of them.
-HUB = 256
-HUBS = 1024
-
-
-def with_least(pairs: DataFrame, n: int) -> DataFrame:
-    """pairs (a, b) with m, the least b of each a. n: no less than the number of pairs.
-
-    Hubs' least neighbours are broadcast, so that their pairs stay where they are; the rest are joined by a, of which none has more pairs than a hub.
-    """
-    bound = max(HUB, n // HUBS)
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-    marked = pairs.join(F.broadcast(least.where(F.col("k") > bound).select("a", F.col("m").alias("hub"))), "a", "left")
-    rest = marked.where("hub IS NULL").select("a", "b").join(least.where(F.col("k") <= bound).select("a", "m"), "a")
-    return marked.where("hub IS NOT NULL").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+def with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with m, the least b of each a. Least ones are combined before they are shuffled; a node of very many pairs is split by Spark's skew join."""
+    return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("m")), "a")
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -33,15 +21,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     e = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).isNotNull().alias("x"), F.col(v).isNotNull().alias("y"))
     e = materialise(e.where("x AND y AND a > b").select("a", "b").distinct(), "edges")
-    n, before = e.count(), None
-    while n:
-        both = with_least(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * n)
+    before = None
+    while True:
+        both = with_least(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         large = both.select(F.greatest("a", "b").alias("a"), F.least("a", "m").alias("b")).where("a > b").distinct()
-        small = with_least(large, 2 * n)
-        small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
-        e = materialise(small, "edges")
+        small = with_least(large)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        e = materialise(small.where("a > b").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now[0] == 0 or now == before:
             break
-        n, before = now[0], now
+        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
