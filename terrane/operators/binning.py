@@ -79,13 +79,15 @@ def natural_breaks(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray
     n = len(values)
     if n < k:
         raise ValueError(f"{n} distinct values can't make {k} classes")
+    # Squared sums lose their digits where values are far from 0, so they are taken of values between 0 and 1.
+    x = (values - values[0]) / (values[-1] - values[0]) if n > 1 else np.zeros(1)
     w = np.concatenate([[0.0], np.cumsum(counts, dtype=float)])
-    s = np.concatenate([[0.0], np.cumsum(counts * values)])
-    q = np.concatenate([[0.0], np.cumsum(counts * values * values)])
+    s = np.concatenate([[0.0], np.cumsum(counts * x)])
+    q = np.concatenate([[0.0], np.cumsum(counts * x * x)])
 
     def cost(i, j):  # of one class holding values i..j-1
         weight, total = w[j] - w[i], s[j] - s[i]
-        return q[j] - q[i] - total * total / weight
+        return np.maximum(q[j] - q[i] - total * total / weight, 0.0)
 
     best = np.array([np.inf, *[cost(0, j) for j in range(1, n + 1)]])
     cuts = np.zeros((k, n + 1), int)

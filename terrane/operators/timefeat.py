@@ -80,6 +80,13 @@ def wet_counts(levels: DataFrame, points: DataFrame, keys: list[str]) -> DataFra
     return points.join(both.select(*keys, F.col("value").alias("elevation"), "wet", "days"), [*keys, "elevation"], "left")
 
 
+def previous_month_wet_days(points: DataFrame, daily: DataFrame) -> DataFrame:
+    """points (station, month, elevation) with wet, the days of the month before ``month`` whose level reaches the elevation (not rounded), and days; both null unless every day of it has a level."""
+    levels = daily.where("level IS NOT NULL").select("station", F.add_months(F.trunc("date", "MM"), 1).alias("month"), "date", "level")
+    whole = levels.groupBy("station", "month").agg(F.count_distinct("date").alias("n")).where(F.col("n") == F.dayofmonth(F.last_day(F.add_months("month", -1))))
+    return wet_counts(levels.join(whole, ["station", "month"], "left_semi"), points, ["station", "month"])
+
+
 def as_of_history(cutoffs: DataFrame, daily: DataFrame, start: str) -> DataFrame:
     """Statistics of each distinct (station, cutoff) over the days from start up to, but without, the cutoff."""
     pairs = cutoffs.select("station", "cutoff").distinct()

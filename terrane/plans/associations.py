@@ -60,9 +60,18 @@ def quantile_grades(spark, d):
     return g.groupBy(F.col("level").cast("long").alias("level")).agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"))
 
 
-@q()
+#: The least cost of k classes of the first values, from that of k - 1 and one class more.
+CLASSES = ", ".join(f"d{k} AS (SELECT c.region, c.hi, min({{'cost': d.m.cost + c.cost, 'ends': list_append(d.m.ends, c.hi)}}) AS m FROM d{k - 1} d JOIN c ON c.region = d.region AND c.lo = d.hi + 1 GROUP BY 1, 2)" for k in range(2, 6))
+
+
+@q(f"""WITH {UNITS}, s AS (SELECT region, p, n, row_number() OVER o AS i, sum(n) OVER o AS w, sum(n * p) OVER o AS s, sum(n * p * p) OVER o AS q FROM (SELECT region, p, count(*) AS n FROM units GROUP BY 1, 2) WINDOW o AS (PARTITION BY region ORDER BY p)),
+z AS (SELECT region, i, w, s, q FROM s UNION ALL SELECT DISTINCT region, 0, 0, 0, 0 FROM s),
+c AS (SELECT b.region, a.i + 1 AS lo, b.i AS hi, b.q - a.q - (b.s - a.s) * (b.s - a.s) / (b.w - a.w) AS cost FROM s b JOIN z a ON a.region = b.region AND a.i < b.i),
+d1 AS (SELECT region, hi, {{'cost': cost, 'ends': [hi]}} AS m FROM c WHERE lo = 1), {CLASSES},
+best AS (SELECT region, max_by(m, hi).ends AS ends FROM d5 GROUP BY 1)
+SELECT region, CAST(1 + len(list_filter(ends, lambda e: e < i)) AS INTEGER) AS level, CAST(sum(n) AS BIGINT) AS n, min(p) AS low, max(p) AS high FROM s JOIN best USING (region) GROUP BY 1, 2""")
 def natural_break_grades(spark, d):
-    """Natural breaks of each region's scores, and the units of each class; tests compare with exhaustive search."""
+    """Natural breaks of each region's scores, and the units of each class."""
     u = units(spark, d)
     g = N.graded_by_breaks(u, N.breaks_by_group(u, "region", "p", 5), "region", "p")
     return g.groupBy("region", "level").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))

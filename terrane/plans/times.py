@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrane.operators import timefeat as T
-from terrane.plans.proxies import DAILY, MONTHLY, PIXELS, SPARSE, daily, monthly, pixels, sparse_daily, units
+from terrane.plans.proxies import DAILY, MONTHLY, PIXELS, SPARSE, daily, monthly, pixels, read, sparse_daily, units
 from terrane.plans.registry import Catalog
 
 C = Catalog()
@@ -87,6 +87,23 @@ def inundation_fraction(spark, d):
     return T.wet_counts(days, px, ["station"]).groupBy("unit_id").agg(F.count("*").alias("pixels"), F.round(F.avg(F.col("wet") / F.col("days")), 6).alias("fraction"))
 
 
+@q(f"""WITH {PIXELS}, dl AS (SELECT (user_id % 5)::VARCHAR AS station, CAST(ts AS DATE) AS date, max(value) AS level FROM events GROUP BY 1, 2), ends AS (SELECT max(date) AS last FROM dl),
+days AS (SELECT station, date, level FROM dl UNION ALL SELECT station, last + 1, level FROM dl, ends WHERE date = last AND last < last_day(last)),
+px AS (SELECT unit_id, (unit_id % 5)::VARCHAR AS station, CAST(m AS DATE) AS month, elevation / 3 AS elevation FROM pixels, (VALUES ('2024-02-01'), ('2024-03-01')) v(m)),
+full_months AS (SELECT station, CAST(date_trunc('month', date) + INTERVAL 1 MONTH AS DATE) AS month FROM days GROUP BY 1, 2 HAVING count(*) = max(day(last_day(date)))),
+u AS (SELECT DISTINCT station, month, elevation FROM px), w AS (SELECT u.station, u.month, u.elevation, count(*) FILTER (level >= u.elevation) AS wet FROM u JOIN full_months USING (station, month) JOIN days d ON d.station = u.station AND date_trunc('month', date) + INTERVAL 1 MONTH = u.month GROUP BY 1, 2, 3)
+SELECT px.month, px.station, count(*) AS pixels, count(wet) AS known, round(avg(wet), 6) AS wet_days FROM px LEFT JOIN w ON w.station = px.station AND w.month = px.month AND w.elevation = px.elevation GROUP BY 1, 2""")
+def antecedent_inundated_days(spark, d):
+    """Mean over pixels of the days of the month before a reference month whose level reaches the pixel's elevation; null unless all its days are there. The series' last level holds for one day more."""
+    e = read(spark, d, "events")
+    days = e.groupBy((F.col("user_id") % 5).cast("string").alias("station"), F.to_date("ts").alias("date")).agg(F.max("value").alias("level"))
+    last = days.agg(F.max("date").alias("last"))
+    held = days.join(F.broadcast(last), F.col("date") == F.col("last")).where("last < last_day(last)").select("station", F.date_add("last", 1).alias("date"), "level")
+    px = pixels(spark, d).select("unit_id", (F.col("unit_id") % 5).cast("string").alias("station"), (F.col("elevation") / 3).alias("elevation"), F.explode(F.expr("array(date'2024-02-01', date'2024-03-01')")).alias("month"))
+    wet = T.previous_month_wet_days(px, days.unionByName(held))
+    return wet.groupBy("month", "station").agg(F.count("*").alias("pixels"), F.count("wet").alias("known"), F.round(F.avg("wet"), 6).alias("wet_days"))
+
+
 @q(f"""WITH {DAILY}, m AS (SELECT station, date_trunc('week', date) AS period, avg(level) AS mean FROM daily GROUP BY 1, 2), l AS (SELECT station, abs(mean - lag(mean) OVER (PARTITION BY station ORDER BY period)) AS change FROM m)
 SELECT station, round(max(change), 6) AS max_change FROM l GROUP BY 1""")
 def period_mean_max_change(spark, d):

@@ -19,6 +19,6 @@ def test_entry(spark):
 
 def test_rest_works_alone(tmp_path):
     copy = tmp_path / "repo"
-    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 90 and not any(k.startswith('op') and k[2].isdigit() for k in n) and 'pipeline' not in n and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True)

@@ -103,6 +103,18 @@ def test_incomplete_windows_are_null(spark):
     assert timefeat.antecedent(spark.createDataFrame([("A", D(2001, 1, 6))], "station string, cutoff date"), series(spark, [5.0, None, 4.0, 3.0, 1.0]), 5).first().drawdown is None
 
 
+def test_wet_days_of_the_previous_month(spark):
+    """A constant level of 2 with one day of 0: 31 days in January, 29 in November; a month that lacks a day gives null."""
+    days = [D(2002, 11, 1) + dt.timedelta(i) for i in range(92)]
+    rows = [("A", d, 0.0 if d == D(2002, 11, 1) else 2.0) for d in days] + [("B", d, 2.0) for d in days if d != D(2003, 1, 7)] + [("B", D(2003, 1, 7), None)]
+    points = [(s, m, e) for s in "AB" for m in (D(2002, 12, 1), D(2003, 2, 1)) for e in (1.0, 2.0, 2.5)]
+    got = timefeat.previous_month_wet_days(spark.createDataFrame(points, "station string, month date, elevation double"), spark.createDataFrame(rows, "station string, date date, level double")).collect()
+    assert {(r.station, r.month.month, r.elevation): r.wet for r in got} == {
+        **{("A", 2, 1.0): 31, ("A", 2, 2.0): 31, ("A", 2, 2.5): 0, ("A", 12, 1.0): 29, ("A", 12, 2.0): 29, ("A", 12, 2.5): 0},
+        **{("B", 2, e): None for e in (1.0, 2.0, 2.5)}, ("B", 12, 1.0): 30, ("B", 12, 2.0): 30, ("B", 12, 2.5): 0,
+    }
+
+
 def test_wet_counts_form_no_pairs(spark):
     rng = random.Random(3)
     levels, points = [float(rng.randrange(10)) for _ in range(50)], [float(rng.randrange(12)) for _ in range(30)]
@@ -167,6 +179,14 @@ def test_balanced_groups():
     assert sampling.balanced_groups([("a", 5), ("b", 5), ("c", 3), ("d", 2), ("e", 1)], 2) == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 1}
 
 
+def test_natural_breaks_keep_their_digits_far_from_zero():
+    v = np.array([0.0, 1.0, 2.0, 10.0, 11.0, 30.0, 31.0, 33.0])
+    n = np.array([3.0, 1.0, 2.0, 5.0, 1.0, 1.0, 1.0, 4.0])
+    near = binning.natural_breaks(v, n, 3)
+    assert near.tolist() == [2.0, 11.0, 33.0]
+    assert (binning.natural_breaks(v * 1e-3 + 1e8, n, 3) == near * 1e-3 + 1e8).all()
+
+
 def test_natural_breaks_are_least_squares():
     rng = np.random.default_rng(2)
     for _ in range(20):
