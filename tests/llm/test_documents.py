@@ -258,6 +258,100 @@ def test_quality_edges(spark, docs, empty):
     assert {r.score for r in quality.score(docs.limit(3), none).collect()} == {0.5}
 
 
+TEXTS = ["", " \n", "Hello, World! 42", "aa aa bb  aa", "straße été; ÉTÉ", "x" * 40 + "9.", "<p>no</p>\t__init__", "日本 語", "A1 b2 C3 ... !!", "w " * 300]
+
+
+def arrays(texts):
+    return textvec.texts(pa.array(texts, pa.string()))
+
+
+def plain_features(text, bits):
+    """Feature numbers of a text, token by token."""
+    word = 2**64 - 1
+
+    def mix(h):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & word
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & word
+        return h ^ h >> 32
+
+    def hashed(token):
+        return int(textvec.hash_runs(np.frombuffer(token, np.uint8), np.array([0]), np.array([len(token)]))[0])
+
+    def shape(t):
+        kind = 0 if re.match(rb"[0-9A-Za-z\x80-\xff]", t) else 1
+        upper = lambda c: 65 <= c <= 90
+        at = (((kind * 2 + upper(t[0])) * 2 + upper(t[min(1, len(t) - 1)])) * 2 + (48 <= t[-1] <= 57)) * 16 + min(len(t), 15)
+        return int(quality._SHAPES[at])
+
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", text.encode())
+    salt = [int(x) for x in quality._SALT]
+    h, p = [hashed(t) for t in tokens], [shape(t) for t in tokens]
+    found = [mix(x ^ salt[0]) for x in h] + [mix(x ^ salt[1]) for x in p]
+    for i in range(1, len(tokens)):
+        found.append(salt[2] if h[i] == h[i - 1] else mix((h[i - 1] * salt[3] + h[i]) & word))
+        found.append(mix((p[i - 1] * salt[4] + p[i]) & word))
+    for i in range(2, len(tokens)):
+        found.append(mix(((p[i - 2] * salt[5] + p[i - 1]) * salt[6] + p[i]) & word))
+    return [f >> (64 - bits) for f in found]
+
+
+def test_quality_scores_equal_a_plain_model():
+    """Weights learned one coordinate at a time in a dict, and scores summed feature by feature."""
+    bits = 10
+    rows = [(i.tolist(), v.tolist(), k % 2) for k, (i, v) in enumerate(quality.features(*arrays(TEXTS), bits))]
+    for (index, share, _), text in zip(rows, TEXTS, strict=True):
+        count = Counter(plain_features(text, bits))
+        assert dict(zip(index, share, strict=True)) == pytest.approx({i: n / sum(count.values()) for i, n in count.items()})
+    alpha, beta, l1, l2 = 3.0, 0.1, 1e-4, 1e-4
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for index, share, y in rows:
+            pairs = [*zip(index, share, strict=True), (1 << bits, 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    learned = quality.ftrl([(np.array(i, np.int32), np.array(v, np.float32), y) for i, v, y in rows], bits)
+    assert learned.tolist() == pytest.approx([weight(i) for i in range((1 << bits) + 1)], abs=1e-5)
+    want = []
+    for text in TEXTS:
+        found = plain_features(text, bits)
+        want.append(1 / (1 + math.exp(-(sum(float(learned[i]) for i in found) / max(1, len(found)) + float(learned[-1])))))
+    assert quality.scores(*arrays(TEXTS), learned).tolist() == pytest.approx(want, abs=1e-6)
+
+
+def test_language_scores_equal_a_plain_model(spark):
+    """N-grams counted one by one, bits and codewords' losses added one by one."""
+    bits, names = 8, ["de", "en", "fr"]
+    code = ecoc.codebook(3)
+    weights = np.random.default_rng(2).normal(size=((1 << bits) + 1, code.shape[1])).astype(np.float32) * 3
+    low = 2**32 - 1
+    tables = [[int(x) for x in t] for t in (ecoc._T1, ecoc._T2, ecoc._T3)]
+
+    def predicted(text):
+        if not any(c.isalpha() for c in text):
+            return "und", 1.0
+        raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        raw = [b | 0x20 if i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E else b for i, b in enumerate(raw)]
+        place = lambda x: (x * 0x9E3779B1 & low) >> (32 - bits)
+        a, b, c = ([t[x] for x in raw] for t in tables)
+        found = [place(x) for x in a] + [place(x + y & low) for x, y in zip(b, c[1:])]
+        found += [place((x * 5 & low) ^ (y * 9 & low) ^ (z * 17 & low)) for x, y, z in zip(a, b[1:], c[2:])]
+        x = {i: math.sqrt(n / len(found)) for i, n in Counter(found).items()}
+        margins = [sum(v * float(weights[i, k]) for i, v in x.items()) + float(weights[-1, k]) for k in range(code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-m * float(s))) for m, s in zip(margins, word, strict=True)) / len(margins) for word in code]
+        p = [math.exp(-4 * (x - min(losses))) for x in losses]
+        return names[losses.index(min(losses))], max(p) / sum(p)
+
+    got = ecoc.predict(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), names, weights).orderBy("doc_id").collect()
+    for r, text in zip(got, TEXTS, strict=True):
+        name, score = predicted(text)
+        assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-4)
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = ecoc.predict(d, *ecoc.train(d), keep=["doc_id", "lang"]).collect()
