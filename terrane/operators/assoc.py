@@ -120,6 +120,21 @@ def mann_whitney(df: DataFrame, by: list[str]) -> DataFrame:
     return t.select(*by, u.alias("u"), ((u - F.col("p") * F.col("n") / 2) / F.sqrt(F.col("p") * F.col("n") * (F.col("p") + F.col("n") + 1) / 12)).alias("z"))
 
 
+def wilcoxon(df: DataFrame, by: list[str]) -> DataFrame:
+    """Signed ranks of ``diff``: rows that aren't zero or null, the sum of positive ranks, and its normal score with the correction for ties; the score is null without rows."""
+    d = df.where((F.col("diff") != 0) & F.col("diff").isNotNull()).withColumn("__size", F.abs(F.col("diff")))
+    r = totals(average_rank(d, by, "__size", "rk"), [*by, "__size"], {"t": F.lit(1.0)})
+    t = r.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("diff") > 0, F.col("rk")).otherwise(0.0)).alias("w"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    return t.select(*by, "n", "w", F.when(var > 0, (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
+
+
+def strong_pairs(rho: DataFrame, value: str = "rho", limit: float = 0.9) -> DataFrame:
+    """Pairs of features whose correlation is at least the limit, either way."""
+    return rho.where(F.abs(F.col(value)) >= limit)
+
+
 def shift(context: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
     """Standardised shift of test against context means, and the share of test values outside the context's 1st to 99th percentile."""
     c = joined(context.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")), quantiles(context, by, "value", [0.01, 0.99]), by)

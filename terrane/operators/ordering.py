@@ -70,12 +70,12 @@ def row_numbers(df: DataFrame, by: list[str], order: list, name: str) -> DataFra
     return cumulative(df, by, order, {name: F.lit(1).cast("long")})
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q") -> DataFrame:
-    """(by, name): exact, linearly interpolated quantiles of each group's values as an array; nulls are left out.
+def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float], name: str = "q", copies: str | None = None) -> DataFrame:
+    """(by, name): exact, linearly interpolated quantiles of each group's values as an array; nulls are left out. copies: column that says how often a row counts.
 
     Values are counted, their counts added up in order, and each quantile's two neighbours picked by place: no task holds a group's values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg((F.sum(copies) if copies else F.count("*")).alias("__n"))
     counts = totals(counts, by, {"__all": F.col("__n")})
     counts = cumulative(counts, by, [F.col("__v")], {"__c": F.col("__n")})
     first = F.col("__c") - F.col("__n")

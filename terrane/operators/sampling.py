@@ -109,6 +109,14 @@ def case_control(df: DataFrame, stratum: list[str], k: int, seed: int) -> DataFr
     return pos.join(neg, [*stratum, "turn"]).select(*stratum, "case_id", "control_id")
 
 
+def far_supplement(df: DataFrame, matched: DataFrame, size: Column, seed: int) -> DataFrame:
+    """(control_id): further negatives from anywhere, those of least hash among the ones not matched (control_id). size: how many, of the table's own counts positives and matched."""
+    counts = df.agg(F.sum("label").alias("positives")).crossJoin(F.broadcast(matched.agg(F.count_distinct("control_id").alias("matched"))))
+    free = df.where("label = 0").select(F.col("unit_id").alias("control_id")).join(matched.select("control_id").distinct(), "control_id", "left_anti")
+    ranked = row_numbers(free.withColumn("__h", token("far", seed, F.col("control_id"))), [], [F.col("__h"), F.col("control_id")], "__rank")
+    return ranked.crossJoin(F.broadcast(counts.select(size.alias("__size")))).where(F.col("__rank") <= F.col("__size")).select("control_id")
+
+
 def donor_order(df: DataFrame, stratum: list[str], least: int, seed: int) -> DataFrame:
     """A permutation of units within strata of at least ``least`` units; others keep themselves."""
     d = totals(df.select("unit_id", *stratum, token("donor", seed, F.col("unit_id")).alias("h")), stratum, {"n": F.lit(1).cast("long")})

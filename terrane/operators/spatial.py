@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ordering import joined, quantiles
 from terrane.session import cut
 
 EARTH_KM = 6371.0088
@@ -108,6 +109,28 @@ def morans_i(edges: DataFrame, values: DataFrame) -> DataFrame:
     return s.select("n", F.when((F.col("den") > 0) & (F.col("w") > 0), F.col("n") / F.col("w") * F.col("num") / F.col("den")).alias("moran"))
 
 
+def support_profile(df: DataFrame, radius: float) -> DataFrame:
+    """(fold, n, median_positive, within): how far the units of each fold (id, x, y, label, fold) are from the nearest positive of the other folds, and the share of them within a radius.
+
+    All folds are searched at once: each has a copy of the plane, so far from the others' that its own positives are always nearer. A fold without positives elsewhere has nulls.
+    """
+    edge = df.agg(F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0")).first()
+    if edge.x0 is None:
+        return df.groupBy("fold").agg(F.count("*").alias("n")).select("fold", "n", F.lit(None).cast("double").alias("median_positive"), F.lit(None).cast("double").alias("within"))
+    step = 2.0 * (edge.x1 - edge.x0) + (edge.y1 - edge.y0) + 1  # other planes lie farther away than any two points of one plane
+    folds = df.select(F.col("fold").alias("plane")).distinct()
+    planes = folds.withColumn("shift", F.row_number().over(Window.orderBy("plane")) * F.lit(step))  # folds are few
+    at = lambda d: d.select(F.struct("plane", "id").alias("id"), (F.col("x") + F.col("shift")).alias("x"), "y")
+    own = df.join(F.broadcast(planes), F.col("fold") == F.col("plane"))
+    positives = df.where("label = 1").join(F.broadcast(planes), F.col("fold") != F.col("plane"))
+    near = nearest(at(own), at(positives), other=False).where("a_id.plane = b_id.plane").select(F.col("a_id.id").alias("id"), F.col("b_id.id").alias("b_id"))
+    ends = near.join(df.select("id", "fold", "x", "y"), "id").join(df.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "b_id")
+    out = cut(ends.select("fold", distance("x", "y", "bx", "by").alias("dist")), "support")
+    share = out.groupBy("fold").agg(F.avg((F.col("dist") < radius).cast("double")).alias("within"))
+    found = joined(share, quantiles(out, ["fold"], "dist", [0.5]), ["fold"])
+    return joined(df.groupBy("fold").agg(F.count("*").alias("n")), found, ["fold"]).select("fold", "n", F.col("q")[0].alias("median_positive"), "within")
+
+
 def neighbour_mean(edges: DataFrame, values: DataFrame) -> DataFrame:
     """Mean of the values of a node's sources (src -> dst); 0 without any."""
     m = edges.join(values.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.avg("z").alias("mean"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.operators.constraints import ConstraintError, nan_to_null
+from terrane.operators.ordering import joined
 
 MARK = "﻿"
 
@@ -72,6 +73,38 @@ def station_daily(raw: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
     return g.drop("k"), audit
 
 
+def event_points(raw: DataFrame, date: str, lon: str, lat: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """Dated points of the years first to last with their year and how many of them share the place, and (year, n, repeated, unreadable) counts; unreadable counts dates of the whole table that can't be read."""
+    dated = raw.withColumn("__date", F.expr(f"try_cast(`{date}` as date)"))
+    bad = dated.agg(F.count_if(F.col("__date").isNull()).alias("unreadable"))
+    kept = dated.where(F.year("__date").between(first, last)).withColumn("year", F.year("__date"))
+    places = kept.groupBy(lon, lat).agg(F.count("*").alias("at_place"))
+    points = joined(kept.drop("__date"), places, [lon, lat])
+    years = points.groupBy("year").agg(F.count("*").alias("n"), F.count_if(F.col("at_place") > 1).alias("repeated"))
+    return points, years.crossJoin(F.broadcast(bad))
+
+
+def ragged_audit(pixels: DataFrame, units: DataFrame, key: str, columns: list[str], weight: str) -> DataFrame:
+    """One row of counts: pixels, pixels with a missing or infinite value, with a weight that isn't positive and finite, of unknown units, and units without pixels. One pass, and one join."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    good = F.lit(True)
+    for c in columns:
+        good = good & finite(c)
+    per_unit = pixels.groupBy(key).agg(F.count("*").alias("n"), F.count_if(~good).alias("bad_value"), F.count_if(~F.coalesce(finite(weight) & (F.col(weight) > 0), F.lit(False))).alias("bad_weight"))
+    j = per_unit.join(units.select(F.col(key).alias("__unit")).distinct(), F.col(key) == F.col("__unit"), "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    outside = F.sum(F.when(F.col("__unit").isNull(), F.col("n")))
+    return j.agg(total("n"), total("bad_value"), total("bad_weight"), F.coalesce(outside, F.lit(0)).alias("unknown_unit"), F.count_if(F.col("n").isNull()).alias("empty_units"))
+
+
+def checked_pixels(pixels: DataFrame, units: DataFrame, key: str, columns: list[str], weight: str) -> DataFrame:
+    """pixels, unless a value or weight is invalid or a unit unknown; units without pixels are allowed."""
+    found = ragged_audit(pixels, units, key, columns, weight).first().asDict()
+    if broken := {k: found[k] for k in ("bad_value", "bad_weight", "unknown_unit") if found[k]}:
+        raise ConstraintError(f"pixels: {broken}")
+    return pixels
+
+
 def seal(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

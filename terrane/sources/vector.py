@@ -13,7 +13,10 @@ import os
 import struct
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from terrane.functions.geometry import ring_area, smallest_container
 
 ROWS = 4096
 
@@ -28,7 +31,7 @@ class Piece(InputPartition):
 
 def _paths(options: dict, suffix: str) -> list[str]:
     path = options["path"].removeprefix("file://")
-    return sorted(os.path.join(path, n) for n in os.listdir(path) if n.lower().endswith(suffix)) if os.path.isdir(path) else [path]
+    return sorted(os.path.join(path, n) for n in os.listdir(path) if n.lower().endswith(suffix) and not n.startswith(".")) if os.path.isdir(path) else [path]
 
 
 class DbfReader(DataSourceReader):
@@ -45,7 +48,7 @@ class DbfReader(DataSourceReader):
 
     def read(self, piece):
         _, _, size, fields = dbf_header(piece.path)
-        encoding = self.options.get("encoding", "utf-8")
+        encoding = self.options.get("encoding") or code_page(piece.path)
         with open(piece.path, "rb") as f:
             f.seek(piece.start)
             data = f.read(piece.stop - piece.start)
@@ -55,7 +58,7 @@ class DbfReader(DataSourceReader):
                 continue
             at, values = 1, {}
             for name, kind, width, decimals in fields:
-                values[name] = dbf_value(row[at : at + width], kind, decimals, encoding)
+                values[name] = dbf_value(row[at : at + width], kind, whole(kind, width, decimals), encoding)
                 at += width
             yield tuple(values[n] for n in self.names)
 
@@ -71,7 +74,25 @@ def dbf_header(path: str) -> tuple[int, int, int, list[tuple[str, str, int, int]
     return n, head, size, fields
 
 
-def dbf_value(raw: bytes, kind: str, decimals: int, encoding: str):
+def code_page(path: str) -> str:
+    """What the .cpg file beside a table says its texts are encoded in; UTF-8 without one, or if Python doesn't know the name."""
+    import codecs
+
+    for end in (".cpg", ".CPG"):
+        try:
+            with open(os.path.splitext(path)[0] + end, encoding="ascii", errors="ignore") as f:
+                return codecs.lookup(f.read().strip()).name
+        except (FileNotFoundError, LookupError):
+            continue
+    return "utf-8"
+
+
+def whole(kind: str, width: int, decimals: int) -> bool:
+    """Whether a field holds whole numbers that a long can hold."""
+    return kind == "N" and not decimals and width <= 18
+
+
+def dbf_value(raw: bytes, kind: str, integer: bool, encoding: str):
     try:
         text = raw.decode(encoding)
     except UnicodeDecodeError:
@@ -79,7 +100,7 @@ def dbf_value(raw: bytes, kind: str, decimals: int, encoding: str):
     text = text.replace("\0", " ").strip()
     if kind in "NF":
         try:
-            return float(text)
+            return int(text) if integer else float(text)
         except ValueError:
             return None
     if kind == "L":
@@ -88,7 +109,7 @@ def dbf_value(raw: bytes, kind: str, decimals: int, encoding: str):
 
 
 class DbfSource(DataSource):
-    """Rows of a dBASE table: numbers as double, everything else as string; blanks and what can't be read are null; deleted rows are left out."""
+    """Rows of a dBASE table: numbers without decimals as long, others as double, everything else as string; texts by the ``encoding`` option or the .cpg beside the table; blanks and what can't be read are null; deleted rows are left out."""
 
     @classmethod
     def name(cls):
@@ -96,7 +117,8 @@ class DbfSource(DataSource):
 
     def schema(self):
         fields = dbf_header(_paths(self.options, ".dbf")[0])[3]
-        return ", ".join(f"`{n}` {'double' if k in 'NF' else 'string'}" for n, k, _, _ in fields)
+        kind = lambda k, w, d: "long" if whole(k, w, d) else "double" if k in "NF" else "string"
+        return ", ".join(f"`{n}` {kind(k, w, d)}" for n, k, w, d in fields)
 
     def reader(self, schema):
         return DbfReader(schema, self.options)
@@ -152,6 +174,112 @@ def shape_parts(body: bytes, kind: int) -> list[list[tuple[float, float]]]:
     return [[struct.unpack_from("<dd", body, at + 16 * i) for i in range(a, b)] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    stem: str
+
+
+class ShapeWriter(DataSourceWriter):
+    """A folder of layers, one for each task: .shp, .shx, .dbf and .cpg. Rows hold ``parts`` (polygons: rings); other columns but those of the reader's geometry become fields.
+
+    A task writes under a name of its own (attempts never share one), commit renames what succeeded, so that a lost or repeated task leaves nothing behind but hidden files, which abort and commit remove.
+    """
+
+    def __init__(self, options, schema, overwrite):
+        self.folder = options["path"].removeprefix("file://")
+        self.columns = schema.names
+        if "parts" not in self.columns:
+            raise ValueError("no column parts")
+        self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields if f.name not in ("parts", "row", "kind", "x0", "y0", "x1", "y1")]
+        self.overwrite = overwrite
+
+    def write(self, iterator):
+        import uuid
+
+        os.makedirs(self.folder, exist_ok=True)
+        stem = os.path.join(self.folder, f".part-{uuid.uuid4().hex}")
+        layer_files(stem, iterator, self.fields)
+        return Written(stem)
+
+    def commit(self, messages):
+        mine = {m.stem for m in messages if m}
+        for name in os.listdir(self.folder):
+            path = os.path.join(self.folder, name)
+            stem, end = os.path.splitext(path)
+            if stem in mine:
+                os.replace(path, os.path.join(self.folder, name[1:]))
+            elif end in LAYER and (name.startswith(".part-") or self.overwrite and name.startswith("part-")):
+                os.remove(path)
+
+    def abort(self, messages):
+        for m in messages:
+            for end in LAYER if m else ():
+                if os.path.exists(m.stem + end):
+                    os.remove(m.stem + end)
+
+
+#: Files of a layer.
+LAYER = (".shp", ".shx", ".dbf", ".cpg")
+
+
+def layer_files(stem: str, rows, fields: list[tuple[str, str]]) -> None:
+    """Writes rows as polygons, record by record: shells clockwise, holes (rings within another ring of the row) counterclockwise. A row without rings is a null shape. Texts are cut to 254 bytes at whole characters."""
+    layout = [(n, *{"string": ("C", 254, 0), "boolean": ("L", 1, 0)}.get(t, ("N", 18, 0) if t in ("tinyint", "smallint", "int", "bigint") else ("N", 24, 15))) for n, t in fields]
+    size = 1 + sum(w for _, _, w, _ in layout)
+    box, n = [float("inf"), float("inf"), float("-inf"), float("-inf")], 0
+    with open(stem + ".shp", "wb") as shp, open(stem + ".shx", "wb") as shx, open(stem + ".dbf", "wb") as dbf:
+        shp.write(b"\0" * 100)
+        shx.write(b"\0" * 100)
+        head = b"".join(name.encode("ascii", "replace")[:10].ljust(11, b"\0") + kind.encode() + b"\0" * 4 + bytes([width, decimals]) + b"\0" * 14 for name, kind, width, decimals in layout) + b"\r"
+        dbf.write(struct.pack("<B3xIHH20x", 3, 0, 32 + len(head), size) + head)
+        for row in rows:
+            body = polygon_body(row["parts"])
+            n += 1
+            shx.write(struct.pack(">ii", shp.tell() // 2, len(body) // 2))
+            shp.write(struct.pack(">ii", n, len(body) // 2) + body)
+            if len(body) > 4:
+                x0, y0, x1, y1 = struct.unpack_from("<4d", body, 4)
+                box = [min(box[0], x0), min(box[1], y0), max(box[2], x1), max(box[3], y1)]
+            dbf.write(b" " + b"".join(dbf_bytes(row[name], kind, width) for name, kind, width, _ in layout))
+        dbf.write(b"\x1a")
+        dbf.seek(4)
+        dbf.write(struct.pack("<I", n))
+        for f in (shp, shx):
+            end = f.tell() // 2
+            f.seek(0)
+            f.write(struct.pack(">i20xi", 9994, end) + struct.pack("<ii4d32x", 1000, 5, *(box if n and box[0] <= box[2] else (0, 0, 0, 0))))
+    with open(stem + ".cpg", "w", encoding="ascii") as f:
+        f.write("UTF-8")
+
+
+def polygon_body(parts) -> bytes:
+    rings = [np.array([(p[0], p[1]) for p in ring], dtype=float) for ring in parts or () if ring is not None and len(ring) > 2]
+    if not rings:
+        return struct.pack("<i", 0)
+    rings = [r if (r[0] == r[-1]).all() else np.vstack([r, r[:1]]) for r in rings]
+    for i, r in enumerate(rings):
+        depth = sum(smallest_container([r], [o])[0] == 0 for j, o in enumerate(rings) if j != i)
+        turns_left = ring_area(r[:-1]) > 0
+        if turns_left != (depth % 2 == 1):
+            rings[i] = r[::-1]
+    points = np.vstack(rings)
+    first = np.cumsum([0, *[len(r) for r in rings[:-1]]])
+    return struct.pack("<i4dii", 5, *points.min(0), *points.max(0), len(rings), len(points)) + first.astype("<i4").tobytes() + points.astype("<f8").tobytes()
+
+
+def dbf_bytes(value, kind: str, width: int) -> bytes:
+    if value is None or value != value:
+        return b" " * width
+    if kind == "C":
+        return str(value).encode()[:width].decode("utf-8", "ignore").encode().ljust(width)
+    if kind == "L":
+        return b"T" if value else b"F"
+    text = str(value) if isinstance(value, int) else next((t for t in (repr(float(value)), f"{float(value):.16g}") if len(t) <= width), "")
+    if not text or len(text) > width:
+        raise ValueError(f"{value} doesn't fit a field of {width}")
+    return text.rjust(width).encode()
+
+
 class ShapeSource(DataSource):
     """Shapes of a layer: row, kind, bounding box, and parts (arrays of points; of polygons, shells turn clockwise and holes counterclockwise)."""
 
@@ -165,6 +293,9 @@ class ShapeSource(DataSource):
     def reader(self, schema):
         return ShapeReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return ShapeWriter(self.options, schema, overwrite)
+
 
 class GridReader(DataSourceReader):
     def __init__(self, options):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import modelling as M
+from terrane.operators import schema
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +86,11 @@ def test_soft_context_order(scored):
 
 
 def test_dictionary_counts():
-    assert len(M.pixel_columns()) == 44 and len(set(M.pixel_columns())) == 44
+    names = schema.feature_columns()
+    assert len(schema.pixel_columns()) == 44 and len(names) == len(set(names)) == 84
+    assert [len(schema.arm_columns(a)) for a in schema.ARMS] == [40, 48, 80, 84]
+    grouped = [c for g in schema.GROUPS.values() for c in g]
+    assert sorted(grouped) == sorted(names[:40])
 
 
 def test_alpha_prefers_the_smaller_of_equals(scored):
