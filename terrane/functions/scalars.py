@@ -27,6 +27,11 @@ def apparent_dip(dip, angle) -> Column:
     return F.when(col(angle) == -1, 0.0).otherwise(F.degrees(F.atan(F.tan(F.radians(col(dip))) * F.cos(F.radians(col(angle))))))
 
 
+def direction_consistency(sine, cosine) -> Column:
+    """Length of the mean direction of a group's unit vectors: 1 where all agree, 0 where they cancel. An aggregate; missing directions are left out."""
+    return F.hypot(F.avg(col(sine)), F.avg(col(cosine)))
+
+
 def shape_index(perimeter, area) -> Column:
     """1 for a circle, more for longer outlines."""
     return F.when(col(area) > 0, col(perimeter) / (2 * F.sqrt(F.lit(math.pi) * col(area))))

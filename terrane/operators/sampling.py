@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.ordering import row_numbers, totals
+from terrane.operators.ordering import cumulative, joined, row_numbers, totals
 
 
 def token(*parts) -> Column:
@@ -126,13 +126,16 @@ def donor_order(df: DataFrame, stratum: list[str], least: int, seed: int) -> Dat
 
 
 def weighted_draws(df: DataFrame, key: str, order: list[str], k: int, seed: int) -> DataFrame:
-    """k draws with replacement from each bag in proportion to weight: hash numbers against the running weight. (key, draw, the drawn row's order columns)."""
-    w = Window.partitionBy(key)
-    d = df.withColumns({"hi": F.sum("weight").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("weight").over(w)}).withColumn("lo", F.col("hi") - F.col("weight"))
+    """k draws with replacement from each bag in proportion to weight: hash numbers against the running weight. (key, draw, the drawn row's order columns).
+
+    A bag's k numbers are hashed once and go with its total to its rows; running weights are dealt by range where a bag is large.
+    """
+    number = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("bag"), F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     draws = F.sequence(F.lit(0), F.lit(k - 1))
-    u = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("bag"), F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    hits = F.filter(draws, lambda i: (u(i) * F.col("total") >= F.col("lo")) & (u(i) * F.col("total") < F.col("hi")))
-    return d.withColumn("draw", F.explode(hits)).select(key, "draw", *order)
+    bags = df.groupBy(key).agg(F.sum("weight").alias("total")).withColumn("at", F.transform(draws, lambda i: number(i) * F.col("total")))
+    d = cumulative(df, [key], [F.col(c) for c in order], {"hi": F.col("weight")}).withColumn("lo", F.col("hi") - F.col("weight"))
+    hits = F.filter(draws, lambda i: (F.get("at", i) >= F.col("lo")) & (F.get("at", i) < F.col("hi")))
+    return joined(d, bags, [key], how="inner").withColumn("draw", F.explode(hits)).select(key, "draw", *order)
 
 
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int, by: list[str] | None = None) -> DataFrame:

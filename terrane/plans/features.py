@@ -213,3 +213,25 @@ def forest_auc(spark, d):
     """The same of a random forest."""
     u = units(spark, d)
     return auc(M.tree_scores(u, ["area", "x", "y", "p"], "forest", 10, 5).select("fold", "label", F.round("p", 9).alias("p")), ["fold"]).withColumn("auc", F.round("auc", 6))
+
+
+@q(f"""WITH {UNITS} SELECT county, count(*) AS n, round(sqrt(avg(sin(radians(unit_id * 37 % 360))) ** 2 + avg(cos(radians(unit_id * 37 % 360))) ** 2), 6) AS consistency FROM units GROUP BY 1""")
+def direction_consistency(spark, d):
+    """How far the directions of a county's units agree."""
+    turned = F.radians((F.col("unit_id") * 37 % 360).cast("double"))
+    u = units(spark, d).select("county", F.sin(turned).alias("s"), F.cos(turned).alias("c"))
+    return u.groupBy("county").agg(F.count("*").alias("n"), F.round(L.direction_consistency("s", "c"), 6).alias("consistency"))
+
+
+@q(f"""WITH {UNITS}, g AS (SELECT CAST(floor(y / 25) AS BIGINT) AS r, CAST(floor(x / 25) AS BIGINT) AS c, min(area) AS v FROM units GROUP BY 1, 2), e AS (SELECT min(r) AS r0, max(r) - min(r) + 1 AS nr, min(c) AS c0, max(c) - min(c) + 1 AS nc FROM g),
+k AS (SELECT r - r0 AS r, c - c0 AS c, v, nr, nc FROM g, e WHERE v % 5 <> 0), a AS (SELECT *, unnest([r, -1 - r, 2 * nr - 1 - r]) AS pr FROM k), i AS (SELECT *, unnest([c, -1 - c, 2 * nc - 1 - c]) AS pc FROM a),
+t AS (SELECT tr.x AS r, tc.x AS c FROM (SELECT unnest(range(nr)) AS x FROM e) tr, (SELECT unnest(range(nc)) AS x FROM e) tc),
+s AS (SELECT t.r, t.c, sum(v * exp(-((t.r - pr) ** 2 + (t.c - pc) ** 2) / 2)) / sum(exp(-((t.r - pr) ** 2 + (t.c - pc) ** 2) / 2)) AS z FROM t JOIN i ON abs(t.r - pr) <= 4 AND abs(t.c - pc) <= 4 GROUP BY 1, 2),
+n AS (SELECT k.r, k.c, CASE WHEN k.c = nc - 1 THEN o.z ELSE coalesce(ea.z, 0) END - CASE WHEN k.c = 0 THEN o.z ELSE coalesce(we.z, 0) END AS dx, CASE WHEN k.r = nr - 1 THEN o.z ELSE coalesce(so.z, 0) END - CASE WHEN k.r = 0 THEN o.z ELSE coalesce(no.z, 0) END AS dy,
+  CASE WHEN k.c IN (0, nc - 1) THEN 25.0::DOUBLE ELSE 50 END AS sx, CASE WHEN k.r IN (0, nr - 1) THEN -25.0::DOUBLE ELSE -50 END AS sy
+  FROM k JOIN s o ON o.r = k.r AND o.c = k.c LEFT JOIN s ea ON ea.r = k.r AND ea.c = k.c + 1 LEFT JOIN s we ON we.r = k.r AND we.c = k.c - 1 LEFT JOIN s so ON so.r = k.r + 1 AND so.c = k.c LEFT JOIN s no ON no.r = k.r - 1 AND no.c = k.c)
+SELECT r + r0 AS row, c + c0 AS col, round(least(greatest((dx / sx * 0.5::DOUBLE - dy / sy * 0.5::DOUBLE + sqrt(0.5::DOUBLE)) / sqrt(1 + (dx / sx) ** 2 + (dy / sy) ** 2), 0), 1), 6) AS shade FROM n, e""")
+def shaded_relief(spark, d):
+    """Relief of the units' areas on a grid with holes."""
+    g = units(spark, d).groupBy(F.floor(F.col("y") / 25).alias("row"), F.floor(F.col("x") / 25).alias("col")).agg(F.min("area").alias("v"))
+    return Z.shaded_relief(g.select("row", "col", F.when(F.col("v") % 5 != 0, F.col("v")).alias("value")), 25.0, 25.0).withColumn("shade", F.round("shade", 6))

@@ -140,3 +140,26 @@ def test_code_page_beside_a_table(spark, tmp_path):
     (tmp_path / "t.cpg").write_text("GB18030")
     vector.register(spark)
     assert spark.read.format("dbf").load(str(tmp_path / "t.dbf")).first().NAME == "重庆"
+
+
+@pytest.mark.parametrize("shape", [(9, 7), (6, 1)])
+def test_relief_by_plain_version(spark, shape):
+    rng = np.random.default_rng(2)
+    dem = rng.normal(100, 5, shape)
+    dem[rng.random(shape) < 0.2] = np.nan
+    valid = np.isfinite(dem)
+    kernel = np.exp(-np.arange(-4, 5) ** 2 / 2)
+
+    def smoothed(a):
+        for axis in range(2):
+            wide = np.apply_along_axis(lambda v: np.pad(v, 4, "symmetric"), axis, a)
+            a = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, wide)
+        return a
+
+    z = smoothed(np.where(valid, dem, 0)) / smoothed(valid.astype(float))
+    gy = np.gradient(z, -30.0, axis=0)
+    gx = np.gradient(z, 20.0, axis=1) if shape[1] > 1 else np.zeros(shape)
+    want = np.clip((gx / 2 - gy / 2 + np.sqrt(0.5)) / np.sqrt(1 + gx * gx + gy * gy), 0, 1)
+    rows = [(i, j, float(dem[i, j]) if valid[i, j] else None) for i in range(shape[0]) for j in range(shape[1])]
+    got = {(r.row, r.col): r.shade for r in zonal.shaded_relief(spark.createDataFrame(rows, "row long, col long, value double"), 20.0, 30.0).collect()}
+    assert set(got) == set(zip(*np.nonzero(valid))) and all(got[k] == pytest.approx(want[k]) for k in got)
